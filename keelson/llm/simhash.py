@@ -1,7 +1,7 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
-A 64-bit fingerprint is cut into ``SEGMENTS`` equal segments and embedded as the
-vector of their bit counts.  Flipping a bit moves one coordinate by one, so the
+A 64-bit fingerprint is cut into segments of three bits (the last has one) and
+embedded as the vector of their bit counts.  Flipping a bit moves one coordinate by one, so the
 Manhattan distance of two vectors never exceeds the Hamming distance of the
 fingerprints.  All pairs within Manhattan distance 2 are met on an integer grid:
 every point visits the cells at distance 0 and 1 of itself, and two points at
@@ -27,7 +27,8 @@ from keelson.llm.scratch import materialize
 from keelson.llm.words import HASH_SEED
 
 BITS = 64
-SEGMENTS = 16
+SEGMENT_BITS = 3
+SEGMENTS = -(-BITS // SEGMENT_BITS)
 CHUNK = 65536
 
 
@@ -67,17 +68,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _segment_counts(fp: Column) -> list[Column]:
-    size = BITS // SEGMENTS
-    mask = (1 << size) - 1
-    return [F.bit_count(F.shiftrightunsigned(fp, size * i).bitwiseAND(F.lit(mask))).cast("long") for i in range(SEGMENTS)]
+    mask = (1 << SEGMENT_BITS) - 1
+    return [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit(mask))).cast("long") for i in range(SEGMENTS)]
 
 
 def popcount_cells(distinct: DataFrame) -> DataFrame:
     """(fp, cell): the grid cells within Manhattan distance 1 of the embedded fingerprint.
 
-    A coordinate is 0 to 4 and a neighbour -1 to 5; shifted by one and written in
-    base 8 the 16 coordinates fill 48 bits, so a cell has an exact long id."""
-    steps = [8**i for i in range(SEGMENTS)]
+    A coordinate is 0 to 3 and a neighbour's -1 to 4; shifted by one and written in
+    base 6 the 22 coordinates fit a long, so a cell has an exact id."""
+    steps = [(SEGMENT_BITS + 3) ** i for i in range(SEGMENTS)]
     counts = _segment_counts(F.col("fp"))
     home = sum(((c + F.lit(1)) * F.lit(s) for c, s in zip(counts, steps, strict=True)), F.lit(0).cast("long"))
     moves = F.array(*[F.lit(m).cast("long") for m in [0, *steps, *(-s for s in steps)]])
