@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import line_dedup, line_quality, simhash, source_mix
+from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,21 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
     "op3_line_quality": op3_line_quality,
     "op5_simhash_components": op5_simhash_components,
+    "op9_link_trust": op9_link_trust,
+    "op10_tiered_shards": op10_tiered_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
