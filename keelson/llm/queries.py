@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix
+from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,28 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+OP8_SQL = """
+WITH digests AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+           CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER)))::BIGINT, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests
+"""
+
+
 def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -64,9 +86,11 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_line_quality": op3_line_quality,
     "op5_simhash_components": op5_simhash_components,
+    "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_link_trust": op9_link_trust,
     "op10_tiered_shards": op10_tiered_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op8_warc_roundtrip": OP8_SQL,
 }
