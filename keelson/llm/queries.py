@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix, warc
+from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix, templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("content").withColumnsRenamed({"id": "doc_id", "item": "item_id"}).withColumn("coverage", F.round("coverage", 6)).withColumn("slot_agreement", F.round("slot_agreement", 6))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -85,6 +90,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
     "op3_line_quality": op3_line_quality,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_simhash_components": op5_simhash_components,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_link_trust": op9_link_trust,
