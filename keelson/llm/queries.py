@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, source_mix, templates, warc
+from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, site_quality, source_mix, templates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
@@ -92,6 +96,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_simhash_components": op5_simhash_components,
+    "op7_site_quality": op7_site_quality,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_link_trust": op9_link_trust,
     "op10_tiered_shards": op10_tiered_shards,
