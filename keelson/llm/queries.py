@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, site_quality, source_mix, templates, warc
+from keelson.llm import line_dedup, line_quality, link_trust, shards, simhash, site_quality, source_mix, templates, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_simhash_components": op5_simhash_components,
+    "op6_wrapper_extraction": op6_wrapper_extraction,
     "op7_site_quality": op7_site_quality,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_link_trust": op9_link_trust,
