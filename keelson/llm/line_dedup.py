@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm.perfect_hash import Shard
-from keelson.llm.scratch import new_dir
+from keelson.llm.scratch import new_dir, small_batches
 from keelson.llm.words import HASH_SEED, code_points, line_key
 
 MIN_CHARS = 40
@@ -194,6 +194,7 @@ def dedup_lines(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     keep a line only if no holder has an id.  Two rows with one id both keep the
     lines that the id owns.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     uri, n_shards = build_index(docs, id_col, text_col, min_chars, min_docs)
     row = F.struct(*[F.col(f"`{c}`") for c in carry])
     kind = T.StructType([docs.schema[c] for c in carry])

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.llm.scratch import small_batches
+
 SYMBOLS = "#*$%&|<>"
 SYMBOL_BYTES = SYMBOLS.encode()
 #: Tokens that separate the items of a menu or a breadcrumb.
@@ -151,6 +153,7 @@ def _measure(limits: Limits, with_text: bool):
 
 def measure(docs: DataFrame, carry: list[str], text_col: str = "text", limits: Limits = Limits(), with_text: bool = False) -> DataFrame:
     """A struct ``row`` of the columns ``carry`` and the measures, base_failed and kept."""
+    small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in carry])
     kind = T.StructType([docs.schema[c] for c in carry])
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words"]

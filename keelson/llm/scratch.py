@@ -45,3 +45,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     uri = new_dir(spark, label)
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
+
+
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_BATCH_BYTES: every task holds a batch several
+    times over (in the JVM, on the wire, as Python objects), and texts may be long.  A lower
+    setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > ARROW_BATCH_BYTES:
+        spark.conf.set(key, f"{ARROW_BATCH_BYTES}b")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import components
-from keelson.llm.scratch import materialize
+from keelson.llm.scratch import materialize, small_batches
 from keelson.llm.words import HASH_SEED
 
 BITS = 64
@@ -62,6 +62,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp) for every row; fp is signed."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints(width), f"id {kind}, fp long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.scratch import materialize
+from keelson.llm.scratch import materialize, small_batches
 
 #: At most so many labelled documents are fitted, those with the smallest hash of their id.
 MAX_TRAIN = 20_000
@@ -124,6 +124,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty result.
     """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.struct(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("row"), F.col(text_col).cast("string").alias("text"))
     fields = ", ".join(f"{f} double" for f in FEATURES)

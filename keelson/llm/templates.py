@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.scratch import materialize
+from keelson.llm.scratch import materialize, small_batches
 from keelson.llm.words import HASH_SEED
 
 WIDTH = 5
@@ -109,6 +109,7 @@ def _window_rows(width: int, least_literals: int, bloom):
 
 
 def _explode_windows(df: DataFrame, id_col: str, text_col: str, width: int, least_literals: int, bloom) -> DataFrame:
+    small_batches(df.sparkSession)
     text = F.col(text_col).cast("string")
     rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("content")).alias("row"), text.alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("h", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.scratch import materialize, new_dir
+from keelson.llm.scratch import materialize, new_dir, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
@@ -111,6 +111,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def write_archives(pages: DataFrame, uri: str | None = None, **columns) -> tuple[str, DataFrame]:
     """Write ``pages`` as WARC archives: (folder, table of (file, bytes, records))."""
+    small_batches(pages.sparkSession)
     uri = uri or new_dir(pages.sparkSession, "warc")
     files = with_revisits(pages, **columns).mapInArrow(_write(uri), "file string, bytes long, records long")
     return uri, materialize(files, "warc-files")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.html_blocks import ROOT_TAGS, TEXT, Node, blocks, parse
 from keelson.llm.link_trust import host_of
-from keelson.llm.scratch import materialize
+from keelson.llm.scratch import materialize, small_batches
 
 GROUP = "()"
 LONGEST_PERIOD = 4
@@ -250,6 +250,7 @@ def _host_rules(batches: Iterable[pa.RecordBatch]):
 
 def infer_wrappers(pages: DataFrame, html_col: str = "html", host: Column | None = None) -> DataFrame:
     """(host, wrapper as JSON) for every host of ``pages``."""
+    small_batches(pages.sparkSession)
     host = host_of(F.col("url").cast("string")) if host is None else host
     rows = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html"))
     partial = rows.mapInArrow(_partial_wrappers, "host string, salt int, wrapper string")
