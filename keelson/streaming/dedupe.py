@@ -12,11 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keelson.config import Config, Source
 from keelson.sources.readers import read_stream
-from keelson.sources.store import Table
+from keelson.sources.store import TXN, Table
 
 WATERMARK = "10 minutes"
 
@@ -44,7 +45,7 @@ def dedupe_source(spark: SparkSession, config: Config, source: Source, path: str
     if "ingestion_date" not in rows.columns:
         rows = rows.withColumn("ingestion_date", F.to_date("ingestion_ts"))
     name = f"{source.name}_{source.entity}_main".lower()
-    unique = first_arrivals(rows, source.dedupe_keys, bounded=bounded)
+    unique = first_arrivals(rows.drop(TXN), source.dedupe_keys, bounded=bounded)
     return write_to_store(unique, config.path("bronze_stream", source.name, source.entity), f"{config.path('checkpoints')}/{name}", name, ["ingestion_date"], available_now)
 
 
@@ -55,9 +56,10 @@ def dedupe_all(spark: SparkSession, config: Config, only: str | None = None, ava
         raw = Table(spark, config.path("raw", source.name, source.entity))
         if not raw.exists():
             continue
-        schema = raw.schema()
-        # new data folders of RAW appear below data/; rewritten rows are suppressed by their keys
-        queries.append(dedupe_source(spark, config, source, f"{raw.uri}/data/txn=*", schema, available_now))
+        # RAW's data folders carry the transaction as a partition column; rows that an upsert
+        # rewrote, or that a failed writer left, are suppressed by their keys
+        schema = T.StructType([*raw.schema().fields, T.StructField(TXN, T.StringType())])
+        queries.append(dedupe_source(spark, config, source, f"{raw.uri}/data", schema, available_now))
     return queries
 
 
