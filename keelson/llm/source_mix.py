@@ -1,11 +1,13 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
 Every document of a source expects the same number of copies, target / size of
-the source.  Documents are put in one order (source, size, hash of the id, id),
-the expected copies are summed along it within each source, one random offset is
-added, and a document is taken once for each integer boundary its interval
-crosses.  Since neighbours in that order have like sizes, the words taken come
-within about one document of the target.
+the source.  Documents are put in one order, the expected copies are summed along
+it within each source, one random offset is added, and a document is taken once
+for each integer boundary its interval crosses.  The order is (source, stripe,
+size, hash of the id, id), sizes rising in even stripes and falling in odd ones:
+neighbours have like sizes, so the words taken come close to the target.  A
+stripe is about STRIPE_ROWS documents of a source, drawn by hash; each has
+documents of every size, so that no task gets all the long ones.
 
 The prefix sum is distributed: the order is made by range partitioning, so a
 source that holds a third of all rows spreads over many tasks, and each task's
@@ -25,6 +27,7 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 SEED = 20240229
+STRIPE_ROWS = 1024
 #: monotonically_increasing_id() is the task's number times 2^33 plus the row's place in the task.
 PLACE_BITS = 33
 
@@ -88,7 +91,12 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     spark = sized.sparkSession
     base = sized.drop("source_size", "target", "copies")
     tie = F.xxhash64(F.lit(seed), F.col(id_col))
-    base = _ordered(base, "mix-order", F.col(source_col).asc_nulls_last(), F.col(size_col), tie, F.col(id_col))
+    counted = base.groupBy(F.col(source_col).alias("__of")).agg(F.ceil(F.count("*") / STRIPE_ROWS).alias("__stripes"))
+    counted = materialize(counted, "mix-stripes")  # its size is known now, so Spark broadcasts it only if it is small
+    base = base.join(counted, F.col(source_col).eqNullSafe(F.col("__of")))
+    stripe = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.col("__stripes"))
+    along_size = F.when(stripe % 2 == 0, F.col(size_col)).otherwise(-F.col(size_col))
+    base = _ordered(base, "mix-order", F.col(source_col).asc_nulls_last(), stripe, along_size, tie, F.col(id_col))
     parts = base.groupBy(F.col(source_col).alias("source"), "__task").agg(F.count("*").alias("rows"), F.sum(size_col).alias("words"), F.min("__place").alias("first"))
     parts = materialize(parts, "mix-parts")  # a row for each source and for each further task it spreads over
     sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
