@@ -28,6 +28,8 @@ FAN_IN = 4
 SMALL_BYTES = 4 << 20
 TARGET_BYTES = 128 << 20
 GROUPS_A_JOB = 64
+#: Up to so many files their numbers are broadcast, some 200 bytes each.
+BROADCAST_RUNS = 20_000
 
 
 @dataclass(frozen=True)
@@ -178,4 +180,5 @@ def shard(docs: DataFrame, id_col: str = "doc_id", uri: str | None = None, fan_i
     order = sorted(store.runs(version), key=lambda r: (firsts[r.path], r.bytes, r.path))
     known = [(r.path, i, tier_of(r.bytes, small, fan_in), r.rows) for i, r in enumerate(order)]
     names = spark.createDataFrame(known, "path string, shard int, tier int, shard_rows long")
+    names = F.broadcast(names) if len(known) <= BROADCAST_RUNS else names
     return rows.join(names, "path").select("id", "shard", "tier", "shard_rows", F.lit(version).cast("long").alias("version"))
