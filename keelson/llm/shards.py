@@ -45,25 +45,24 @@ def tier_of(size: int, small: int = SMALL_BYTES, fan_in: int = FAN_IN) -> int:
 
 
 def plan_merges(runs: list[Run], fan_in: int = FAN_IN, small: int = SMALL_BYTES, target: int = TARGET_BYTES) -> list[list[Run]]:
-    """Groups of like-sized runs to merge now: from the smallest up, groups of one
-    tier that reach ``fan_in`` runs or as many as the target size holds."""
+    """Groups of like-sized runs to merge now, from the smallest up: a group is complete at
+    ``fan_in`` runs of one tier or at three quarters of the target size, and never
+    exceeds the target by more than a quarter.  Incomplete groups wait for more runs."""
     tiers: dict[int, list[Run]] = {}
     for r in runs:
         if r.bytes < target:
             tiers.setdefault(tier_of(r.bytes, small, fan_in), []).append(r)
     groups = []
     for _, members in sorted(tiers.items()):
-        members.sort(key=lambda r: (r.bytes, r.path))
         group: list[Run] = []
-        for r in members:
-            if len(group) > 1 and sum(x.bytes for x in group) + r.bytes > target:
-                groups.append(group)
+        for r in sorted(members, key=lambda r: (r.bytes, r.path)):
+            if sum(x.bytes for x in group) + r.bytes > 1.25 * target:
                 group = []
             group.append(r)
-            if len(group) == fan_in:
+            if len(group) > 1 and (len(group) >= fan_in or sum(x.bytes for x in group) >= 0.75 * target):
                 groups.append(group)
                 group = []
-    return [g for g in groups if sum(x.bytes for x in g) <= 1.25 * target]
+    return groups
 
 
 class ShardSet:
