@@ -8,8 +8,10 @@ so that nothing is computed twice to be counted.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,24 @@ INITIALIZE, MERGE, DEDUP, NO_NEW = "INITIALIZE", "MERGE", "DEDUP", "NO_NEW"
 SILVER_TYPE, GOLD_TYPE = "GLOBAL_SURVIVORSHIP+SIMILARITY", "GLOBAL_GOLD_SSOT"
 
 
+#: Sources loaded side by side; Spark shares its executors among their jobs.
+SOURCES_AT_ONCE = 4
+
+
 def _each_source(run: Run, only: str | None, step: Callable[[Source], None]) -> None:
-    for source in run.config.selected(only):
+    def isolated(source: Source) -> None:
         start = now()
         try:
             step(source)
         except Exception as error:  # one source must not stop the others
             run.failed(source.name, source.key, error, start)
 
+    sources = run.config.selected(only)
+    with ThreadPoolExecutor(SOURCES_AT_ONCE) as pool:
+        list(pool.map(inheritable_thread_target(run.spark)(isolated), sources))
+    place = {s.key: i for i, s in enumerate(sources)}
+    run.outcomes.sort(key=lambda o: place[o.target])
+
 
 # ---------------------------------------------------------------- ingest
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+class AlreadyThere(Exception):
+    """Another writer has created the file."""
+
+
 class Folder:
     def __init__(self, spark: SparkSession, uri: str):
         self.spark, self.jvm = spark, spark._jvm
@@ -50,10 +54,31 @@ class Folder:
         options[0] = getattr(kinds, "NONE")
         try:
             self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf).rename(draft, target, options)
-        except Exception:
+        except Exception as error:
             self.fs.delete(draft, False)
+            if "FileAlreadyExists" in str(error):
+                raise AlreadyThere(f"{target} exists") from error
             raise
 
+    def files(self, name: str) -> list[tuple[str, int]]:
+        """(path below this folder, bytes) of all files below ``name``, sorted."""
+        at, out = self.path(name), []
+        if self.fs.exists(at):
+            found = self.fs.listFiles(at, True)
+            while found.hasNext():
+                f = found.next()
+                out.append((f.getPath().toString()[len(self.uri) + 1 :], f.getLen()))
+        return sorted(out)
+
+    def parquet_rows(self, name: str) -> int:
+        """The row count in a Parquet file's footer."""
+        hadoop = self.jvm.org.apache.parquet.hadoop
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(self.path(name), self.conf))
+        try:
+            return reader.getRecordCount()
+        finally:
+            reader.close()
+
     def create_json(self, name: str, body: dict) -> None:
         self.create_exclusively(name, json.dumps(body))
 

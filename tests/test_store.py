@@ -113,3 +113,21 @@ def test_empty_rows(spark, table):
     assert table.exists() and table.read().count() == 0
     table.upsert(spark.createDataFrame([(1, "a", 0)], SCHEMA), ["k"])
     assert rows(table.read()) == [(1, "a", 0)]
+
+
+def test_appends_at_once_all_arrive(spark, table):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table.append(spark.createDataFrame([(0, "a", 0)], SCHEMA))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: Table(spark, table.uri).append(spark.createDataFrame([(i, "a", 0)], SCHEMA)), range(1, 9)))
+    assert sorted(versions) == list(range(1, 9))
+    assert sorted(r["k"] for r in table.read().collect()) == list(range(9))
+
+
+def test_many_files_are_counted_by_a_job(spark, table, monkeypatch):
+    from keelson.sources import store
+
+    monkeypatch.setattr(store, "FOOTERS_ON_DRIVER", 0)
+    table.append(spark.range(10).select(F.col("id").cast("int").alias("k"), F.lit("x y").alias("v"), (F.col("id") % 2).cast("int").alias("at")), ["v"])
+    assert table.count() == 10 and table.read().where("v = 'x y'").count() == 10
