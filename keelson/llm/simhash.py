@@ -55,17 +55,23 @@ def _fingerprints(width: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = pa.array([fingerprint(x, width) for x in texts], pa.int64())
-            yield pa.record_batch([batch.column(0), found], ["id", "fp"])
+            yield pa.record_batch([batch.column(0), found], ["row", "fp"])
 
     return run
 
 
+def content_of(text: Column) -> Column:
+    """What tells rows with one id, or none, apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) for every row; fp is signed."""
+    """(id, content, fp) for every row; fp is signed."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), f"id {kind}, fp long")
+    row = F.struct(F.col(id_col).alias("id"), content_of(F.col(text_col)).alias("content"))
+    found = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(width), f"row struct<id:{kind},content:bigint>, fp long")
+    return found.select("row.id", "row.content", "fp")
 
 
 def _segment_counts(fp: Column) -> list[Column]:
@@ -105,6 +111,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return starred.select("src", "dst").distinct()
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, content, fp, root, component) for every row: root, the least fingerprint
+    reachable, names the group; component is the least id in it."""
+    prints = materialize(fingerprints(docs, id_col, text_col, width), "simhash-prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    labels = components.connected_components(materialize(links(distinct), "simhash-links"))
+    rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    known = materialize(rooted.join(least, "root").select("fp", "root", "component"), "simhash-components")
+    return prints.join(known, "fp").select("id", "content", "fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp, component) for every row of ``docs``: fingerprints that differ in two
     or fewer bits are linked, and component is the smallest id reachable.
@@ -115,23 +134,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.  Other columns, whatever their names, are
     not read.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    labels = components.connected_components(materialize(links(distinct), "simhash-links"))
-    grouped = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    grouped = materialize(grouped, "simhash-grouped")
-    roots = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    known = materialize(grouped.join(roots, "root").select("fp", "component"), "simhash-components")
-    return prints.join(known, "fp").select("id", "fp", "component")
+    return grouped(docs, id_col, text_col, width).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group: the one
-    with the smallest id stays (rows with a NULL id only where a group has no other).
+    with the smallest id stays (one with a NULL id only where a group has no other).
 
-    Several rows with one id are repeated rows of a document: one of them stays.
+    A document is a pair of id and text: several texts of one id are several
+    documents, and of repeated rows one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, width)
-    heads = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(F.col("__head")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    each = grouped(docs, id_col, text_col, width).groupBy("root", "id", "content").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "rows")).alias("head")
+    heads = materialize(each.groupBy("root").agg(first).select(F.col("head.id").alias("__head"), F.col("head.content").alias("__content"), F.col("head.rows").alias("__rows")), "simhash-heads")
+    same_text = content_of(docs[text_col]) == F.col("__content")
+    unique = heads.where("__head IS NOT NULL AND __rows = 1")
+    # one plan at every size: heads are about as many as documents, never small enough to broadcast
+    kept = docs.join(unique.hint("merge"), (docs[id_col] == F.col("__head")) & same_text, "left_semi")
+    others = heads.where("__head IS NULL OR __rows > 1")
+    if others.isEmpty():
+        return kept
+    # repeated rows and rows without an id: few, so that a second look at the table is cheaper than sorting it
+    again = docs.join(others, docs[id_col].eqNullSafe(F.col("__head")) & same_text, "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, text_col]))

@@ -1,0 +1,122 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from keelson.llm import link_trust as lt
+from keelson.llm.queries import op9_link_trust
+
+
+def brute_parts(url):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+    return host, m[2] if m else ""
+
+
+def brute_rule(host, path):
+    fits = [r for r in lt.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(r.text), default=None)
+
+
+URLS = [
+    None,
+    "",
+    "no scheme/en/",
+    "http://WWW.Example.COM/en/x?y#z",
+    "http://blog.example.com/en/1",
+    "http://example.com",
+    "http://example.com?x://y/z",
+    "http://notexample.com/en/",
+    "https://a.net/es/1",
+    "https://a.net/ES/1",
+    "https://a.net/en/fr/",
+    "ftp://net/fr/",
+    "http://Ünï.org/p#://other.com/",
+    "http://x.org:80/en/",
+    "://com/",
+]
+
+
+def test_parts_and_rules(spark):
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)], "page_id long, url string, html string").withColumns({"id": F.lit("x"), "host": F.lit("y"), "verdict": F.lit(1)})
+    for r in lt.judge(df).collect():
+        host, path = brute_parts(URLS[r["id"]])
+        rule = brute_rule(host, path)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule.text, rule.verdict if rule else "allow"), URLS[r["id"]]
+
+
+def test_nulls_repeats_and_empty(spark):
+    df = spark.createDataFrame([(None, None, None), (1, "http://a.org/", "<a href=x>"), (1, "http://a.org/", "<a href=x>")], "page_id long, url string, html string")
+    assert lt.judge(df).count() == 3
+    assert lt.judge(df.limit(0)).count() == 0
+
+
+def test_links(spark):
+    html = """<A class=x HREF="http://B.org/q">b</A><a href='//c.org'>c</a><a href=https://a.org/self>s</a><a href="/rel">r</a><a href="mailto:x@y.z">m</a><link href="http://no.org"><a data-x="1"
+    href="http://B.org/2">b</a>"""
+    df = spark.createDataFrame([(1, "http://a.org/", html), (2, "http://A.org/2", html), (3, None, html), (4, "http://d.org", None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, lt.host_edges(df).collect())) == [("a.org", "b.org", 4), ("a.org", "c.org", 2)]
+
+
+def brute_scores(edges, seeds, damping=0.85):
+    out, into = {}, {}
+    for s, d, n in edges:
+        out[s] = out.get(s, 0) + n
+        into[d] = into.get(d, 0) + n
+    trust = {h: (1 - damping) * g for h, (g, _) in seeds.items()}
+    bad = {h: (1 - damping) * b for h, (_, b) in seeds.items()}
+    for _ in range(200):
+        t = {h: (1 - damping) * g for h, (g, _) in seeds.items()}
+        b = {h: (1 - damping) * x for h, (_, x) in seeds.items()}
+        for s, d, n in edges:
+            t[d] += damping * trust[s] * n / out[s]
+            b[s] += damping * bad[d] * n / into[d]
+        trust, bad = t, b
+    return trust, bad
+
+
+def test_scores_equal_power_iteration(spark):
+    rng = random.Random(6)
+    hosts = [f"h{i}" for i in range(25)]
+    edges = {(s, d): rng.randrange(1, 5) for s in hosts for d in rng.sample(hosts, 3) if s != d}
+    edges |= {(h, "h0"): 1 for h in hosts[1:]}
+    rows = [(s, d, n) for (s, d), n in edges.items()]
+    seeds = {h: (int(i % 7 == 0), int(i % 5 == 1)) for i, h in enumerate(hosts)}
+    trust, bad = brute_scores(rows, seeds)
+    got = lt.trust_scores(spark.createDataFrame(rows, "src string, dst string, n long"), spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, good int, bad int"))
+    for r in got.collect():
+        assert abs(r["trust"] - trust[r["host"]]) < 1e-4 and abs(r["distrust"] - bad[r["host"]]) < 1e-4
+
+
+def test_distrust_reaches_who_links_to_blocked_hosts(spark):
+    rules = (lt.Rule("block", "spam.org", "/"), lt.Rule("allow", "good.org", "/"))
+    link = lambda *to: "".join(f'<a href="http://{t}/">x</a>' for t in to)
+    rows = [(1, "http://spam.org/1", ""), (2, "http://farm.org/1", link("spam.org")), (3, "http://good.org/1", link("fine.org")), (4, "http://fine.org/1", ""), (5, "http://alone.org/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in lt.judge(df, rules=rules).collect()}
+    assert got == {"spam.org": "block", "farm.org": "block", "good.org": "allow", "fine.org": "allow", "alone.org": "allow"}
+
+
+def test_longer_host_wins_a_tie(spark):
+    rules = (lt.Rule("allow", "org", "/abc/"), lt.Rule("block", "bc.a.org", "/"))
+    text, verdict = lt.longest_rule(F.lit("bc.a.org"), F.lit("/abc/x"), rules)
+    assert tuple(spark.range(1).select(text, verdict).first()) == ("bc.a.org/", "block")
+    none, _ = lt.longest_rule(F.lit("x"), F.lit("/"), ())
+    assert spark.range(1).select(none).first()[0] is None
+
+
+@pytest.mark.parametrize("name", ["Python", "Arrow", "Pandas"])
+def test_main_path_has_no_python(spark, sf_dir, name):
+    assert name not in op9_link_trust(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query(spark, sf_dir):
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = op9_link_trust(spark, sf_dir).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, path = brute_parts(pages[r["page_id"]])
+        rule = brute_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.text)
+        assert rule is None or r["verdict"] == rule.verdict

@@ -1,0 +1,122 @@
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from keelson.llm import components, simhash
+from keelson.llm.queries import op5_simhash_components
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_fingerprint(text, width=3):
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
+    counts = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
+
+
+def brute_components(prints):
+    """{id: smallest id reachable} over links of two bits or fewer."""
+    label = {i: i for i in prints}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return {i: find(i) for i in ids}
+
+
+def check(spark, rows):
+    got = {r["id"]: (r["fp"] & (1 << 64) - 1, r["component"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    assert {i: fp for i, (fp, _) in got.items()} == prints
+    assert {i: c for i, (_, c) in got.items()} == brute_components(prints)
+    return got
+
+
+def test_random_texts_and_near_copies(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(0, 240, 4):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((4, 30, 300)))]
+        rows.append((i, " ".join(words)))
+        rows.append((i + 1, " ".join(words) + "\n"))
+        changed = list(words)
+        changed[rng.randrange(len(words))] = "other"
+        rows += [(i + 2, " ".join(changed)), (i + 3, "\t".join(changed[:-1]))]
+    got = check(spark, rows)
+    assert len({c for _, c in got.values()}) < 180
+
+
+def test_edge_texts(spark):
+    check(spark, [(1, None), (2, ""), (3, " \t\x0b"), (4, "one"), (5, "One"), (6, "two words"), (7, "É é"), (8, "é é"), (9, "a\xa0b c"), (10, "x" * 50_000 + " y" * 20_000)])
+
+
+def test_chains_of_fingerprints_are_one_component(spark):
+    chain = [0]
+    for i in range(40):
+        chain.append(chain[-1] ^ (1 << i) ^ (1 << (i + 1)))
+    far = [(1 << 63) | (0b1111 << 20), -1]
+    fps = [x - (1 << 64) if x >= 1 << 63 else x for x in [*chain, *far]]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
+    assert {labels[x] for x in fps[:41]} == {min(fps[:41])}
+    assert not set(fps[41:]) & set(labels)
+
+
+def test_links_equal_brute_force_on_clustered_fingerprints(spark):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    fps = set()
+    for c in centres:
+        for _ in range(60):
+            x = c
+            for _ in range(rng.randrange(6)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    signed = {x: x - (1 << 64) if x >= 1 << 63 else x for x in fps}
+    labels = {r["node"]: r["label"] for r in components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"))).collect()}
+    brute = brute_components({s: u for u, s in signed.items()})
+    assert {s: labels.get(s, s) for s in signed.values()} == brute
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1)], [(2, 1), (1, 2), (3, 2), (9, 8)]])
+def test_components_of_small_graphs(spark, rows):
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == ({} if len(rows) < 2 else {1: 1, 2: 1, 3: 1, 8: 8, 9: 8})
+
+
+def test_nulls_repeats_empty_and_clashing_columns(spark):
+    rows = [(None, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (None, "q r s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int").withColumns({"fp": F.lit(1), "id": F.lit(2), "__rows": F.lit(3)})
+    got = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None)], key=repr)
+    kept = simhash.keep_one(df.drop("__rows")).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in kept) == [(False, "a b c d"), (True, "q r s")]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs}
+    comps = brute_components(prints)
+    got = op5_simhash_components(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fp:016x}", comps[i]) for i, fp in prints.items()}
