@@ -2,10 +2,13 @@
 
 Numbers, units and names become typed placeholders, the rest is lower-cased and
 stripped of punctuation, and windows of five canonical tokens are hashed: a
-question with other numbers or names has the same windows.  Windows of documents
-and benchmark meet in a hash join.  A document is contaminated by an item if it
-holds at least 80 % of the item's windows and fills the item's slots
-consistently: each value of the item stands for one value of the document.
+question with other numbers or names has the same windows.  Names are known by
+their capital inside a sentence, which copies may have lost or got (a passage
+pasted into a sentence, lower-cased text), so a window that holds a name is also
+hashed with the name as a plain word.  Windows of documents and benchmark meet
+in a hash join.  A document is contaminated by an item if it holds at least 80 %
+of the item's windows and fills the item's slots consistently: each value of the
+item stands for one value of the document.
 
 Before the join, documents drop the windows that cannot match by a Bloom filter
 over the benchmark's windows.  The filter has a fixed number of bits, so what is
@@ -45,10 +48,12 @@ def _number(m: re.Match) -> str:
     return f" \x01n{m[2]} " + (f"\x01u{unit} " if unit else "")
 
 
-def canonical(text: str | None) -> tuple[list[bytes], dict[int, bytes]]:
-    """Canonical tokens, and the value of each placeholder by position."""
+def canonical(text: str | None, names: bool = True) -> tuple[list[bytes], dict[int, bytes]]:
+    """Canonical tokens, and the value of each placeholder by position; without ``names``
+    names are plain words, and the tokens as many as with them."""
     text = (text or "").replace("\x01", " ")
-    text = NAME.sub("\x01p\\1", text)
+    if names:
+        text = NAME.sub("\x01p\\1", text)
     text = NUMBER.sub(_number, text)
     tokens = text.lower().encode("utf-8", "replace").translate(None, PUNCTUATION).split()
     values: dict[int, bytes] = {}
@@ -77,33 +82,49 @@ def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (u & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
 
 
+def placed_windows(text: str | None, width: int, least_literals: int, wanted=None):
+    """(position, hash, slots) of the windows of a text, those with names in both forms,
+    that have enough literal tokens and whose hashes ``wanted`` (hashes to positions) picks."""
+    tokens, values = canonical(text)
+    forms = [(tokens, values)]
+    if any(v[:1] == b"p" for v in values.values()):
+        forms.append(canonical(text, names=False))
+    for tokens, values in forms:
+        h = windows(tokens, width)
+        for k in range(len(h)) if wanted is None else wanted(h):
+            span = range(k, min(k + width, len(tokens)))
+            filled = tuple(values[x] for x in span if x in values) if values else ()
+            if len(span) - len(filled) >= min(least_literals, len(tokens)):
+                yield k, int(h[k]), filled
+
+
 def _window_rows(width: int, least_literals: int, bloom):
-    """(row, text) to (row, h, slots): distinct windows that have enough literal tokens
-    and, if there is a filter, may be in the benchmark."""
+    """(row, text) to (row, pos, h, slots).  With a filter only windows that may be in the
+    benchmark, each hash with the same slots once."""
 
     def run(batches):
-        bits = None if bloom is None else np.frombuffer(bloom.value, np.uint8)
+        wanted = None
+        if bloom is not None:
+            bits = np.frombuffer(bloom.value, np.uint8)
+
+            def wanted(h):
+                x, y = _spots(h)
+                return np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1).tolist()
+
         for batch in batches:
-            at, hs, slots = [], [], []
+            at, places, hs, slots = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens, values = canonical(text)
-                h = windows(tokens, width)
-                if bits is None:
-                    near = range(len(h))
-                else:
-                    x, y = _spots(h)
-                    near = np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1).tolist()
                 seen = set()
-                for k in near:
-                    filled = tuple(values[j] for j in range(k, min(k + width, len(tokens))) if j in values)
-                    key = (int(h[k]), filled)
-                    if key not in seen and min(width, len(tokens)) - len(filled) >= min(least_literals, len(tokens)):
+                for k, h, filled in placed_windows(text, width, least_literals, wanted):
+                    key = (h, filled) if wanted else (k, h)
+                    if key not in seen:
                         seen.add(key)
                         at.append(i)
-                        hs.append(key[0])
+                        places.append(k)
+                        hs.append(h)
                         slots.append([v.decode("utf-8", "replace") for v in filled])
             row = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.record_batch([row, pa.array(hs, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["row", "h", "slots"])
+            yield pa.record_batch([row, pa.array(places, pa.int64()), pa.array(hs, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["row", "pos", "h", "slots"])
 
     return run
 
@@ -112,7 +133,7 @@ def _explode_windows(df: DataFrame, id_col: str, text_col: str, width: int, leas
     small_batches(df.sparkSession)
     text = F.col(text_col).cast("string")
     rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("content")).alias("row"), text.alias("text"))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("h", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
     return rows.mapInArrow(_window_rows(width, least_literals, bloom), schema)
 
 
@@ -139,11 +160,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of fewer than five tokens only documents of the same tokens.
     """
     items = materialize(_explode_windows(benchmark, item_col, item_text_col, width, least_literals, None).distinct(), "benchmark-windows")
-    needed = items.groupBy("row").agg(F.count_distinct("h").alias("item_windows"))
-    hits = _explode_windows(docs, id_col, text_col, width, least_literals, _bloom(items))
-    sides = items.select(F.col("row").alias("item"), "h", F.col("slots").alias("item_slots"))
+    needed = items.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
+    hits = _explode_windows(docs, id_col, text_col, width, least_literals, _bloom(items)).drop("pos")
+    sides = items.select(F.col("row").alias("item"), "pos", "h", F.col("slots").alias("item_slots"))
     met = materialize(hits.join(sides, "h"), "window-matches")
-    counted = met.groupBy("row", "item").agg(F.count_distinct("h").alias("matched_windows"))
+    counted = met.groupBy("row", "item").agg(F.count_distinct("pos").alias("matched_windows"))
     counted = counted.join(needed.withColumnRenamed("row", "item"), "item").withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
     pairs = materialize(counted.where(F.col("coverage") >= coverage), "covered-items")
     filled = met.join(pairs.select("row", "item"), ["row", "item"]).select("row", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
