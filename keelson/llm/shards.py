@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ from keelson.llm.scratch import new_dir
 FAN_IN = 4
 SMALL_BYTES = 4 << 20
 TARGET_BYTES = 128 << 20
-GROUPS_A_JOB = 64
+#: Merges planned in one job, and jobs that run side by side.
+GROUPS_A_JOB = 256
+JOBS_AT_ONCE = 4
 #: Up to so many files their numbers are broadcast, some 200 bytes each.
 BROADCAST_RUNS = 20_000
 
@@ -132,12 +136,16 @@ class ShardSet:
         while groups := plan_merges(self.runs(), fan_in, small, target):
             parent = self.manifest()
             schema = StructType.fromJson(json.loads(parent["schema"]))
-            made: list[Run] = []
-            for i in range(0, len(groups), GROUPS_A_JOB):
-                parts = [self.spark.read.schema(schema).parquet(*[r.path for r in g]).coalesce(1) for g in groups[i : i + GROUPS_A_JOB]]
+            jobs = [groups[i : i + GROUPS_A_JOB] for i in range(0, len(groups), GROUPS_A_JOB)]
+
+            def merged(job: list[list[Run]], schema: StructType = schema) -> list[Run]:
+                parts = [self.spark.read.schema(schema).parquet(*[r.path for r in g]).coalesce(1) for g in job]
                 folder = self._new_folder()
                 reduce(DataFrame.union, parts).write.parquet(folder)
-                made += self._written(folder, schema)
+                return self._written(folder, schema)
+
+            with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+                made = [r for runs in pool.map(inheritable_thread_target(self.spark)(merged), jobs) for r in runs]
             gone = {r.path for g in groups for r in g}
             before = sum(r.rows for g in groups for r in g)
             if sum(r.rows for r in made) != before:
