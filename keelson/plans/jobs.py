@@ -129,6 +129,25 @@ def split_bronze(df: DataFrame, source: Source, order_by: str = "updated_ts", sa
     return marked.withColumn("bronze_type", F.when(F.col("__survivor"), "MAIN").otherwise("CONFLICTED")).drop("__survivor", "__main")
 
 
+#: MAIN and CONFLICTED are partitions of one table: one ranked pass, one write and one commit
+#: for both, and a reader of one side never opens the files of the other.
+BRONZE_LAYOUT = ["bronze_type", "ingestion_date"]
+
+
+def bronze_table(spark: SparkSession, config: Config, source: Source) -> Table:
+    return Table(spark, config.path("bronze", source.name, source.entity))
+
+
+def bronze_side(spark: SparkSession, config: Config, source: Source, side: str = "MAIN") -> DataFrame:
+    """The MAIN or the CONFLICTED rows of a source."""
+    return bronze_table(spark, config, source).read().where(F.col("bronze_type") == side)
+
+
+def bronze_counts(table: Table) -> tuple[int, int]:
+    """(MAIN, CONFLICTED) rows, from the log."""
+    return table.count(partition="bronze_type=MAIN"), table.count(partition="bronze_type=CONFLICTED")
+
+
 def bronze(spark: SparkSession, config: Config, only: str | None = None, change_column: str = "ingestion_ts", at: datetime | None = None) -> Run:
     """Split what is new in RAW into MAIN and CONFLICTED.
 
@@ -145,31 +164,23 @@ def bronze(spark: SparkSession, config: Config, only: str | None = None, change_
         since = None if config.reset_mode else last_checkpoint(spark, config, source)
         fresh = changed_since(raw.read(), change_column, since)
         newest = fresh.agg(F.max(change_column)).first()[0]
-        main = Table(spark, config.path("bronze_main", source.name, source.entity))
+        table = bronze_table(spark, config, source)
         if newest is None:
             outcome.load_type = NO_NEW
             run.outcomes.append(outcome)
             return
         stamp = F.lit(at or now()).cast("timestamp")
         rows = split_bronze(fresh, source).withColumns({"dedupe_run_id": F.lit(run.run_id), "dedupe_ts": stamp, "ingestion_date": F.to_date(stamp)})
-        written = Table(spark, config.path("bronze_batches", source.name, source.entity))
-        written.overwrite(rows, ["bronze_type"])  # one ranked pass feeds both outputs
-        counts = {}
-        for kind, layer in (("MAIN", "bronze_main"), ("CONFLICTED", "bronze_conflicted")):
-            table = main if layer == "bronze_main" else Table(spark, config.path(layer, source.name, source.entity))
-            part = written.read().where(F.col("bronze_type") == kind)
-            before = 0 if config.reset_mode or not table.exists() else table.count()
-            if config.reset_mode:
-                table.overwrite(part, ["ingestion_date"])
-            else:
-                table.append(part, ["ingestion_date"])
-            counts[kind] = table.count() - before
-        written.vacuum()
-        outcome.inserted, outcome.conflicted = counts["MAIN"], counts["CONFLICTED"]
+        before = (0, 0) if config.reset_mode or not table.exists() else bronze_counts(table)
+        if config.reset_mode:
+            table.overwrite(rows, BRONZE_LAYOUT)
+        else:
+            table.append(rows, BRONZE_LAYOUT)
+        outcome.inserted, outcome.conflicted = (x - y for x, y in zip(bronze_counts(table), before, strict=True))
         outcome.incoming = outcome.inserted + outcome.conflicted
         mark = [(source.name, source.entity, newest, run.run_id, now(), config.environment)]
         Table(spark, config.path("system", "checkpoint")).append(spark.createDataFrame(mark, schemas.SYSTEM["checkpoint"]).coalesce(1))
-        run.done(source.name, raw.uri, main.uri, outcome)
+        run.done(source.name, raw.uri, table.uri, outcome)
 
     _each_source(run, only, step)
     run.finish()
@@ -182,12 +193,9 @@ def global_latest(main: DataFrame, source: Source, order_by: str = "updated_ts")
 
 
 def bronze_totals(spark: SparkSession, config: Config) -> dict[str, int]:
-    """Rows of all MAIN and all CONFLICTED tables, from their logs."""
-    out = {}
-    for layer in ("bronze_main", "bronze_conflicted"):
-        tables = [Table(spark, config.path(layer, s.name, s.entity)) for s in config.sources]
-        out[layer] = sum(t.count() for t in tables if t.exists())
-    return out
+    """Rows of all sources' MAIN and CONFLICTED sides, from the tables' logs."""
+    counts = [bronze_counts(t) for t in (bronze_table(spark, config, s) for s in config.sources) if t.exists()]
+    return {"MAIN": sum(m for m, _ in counts), "CONFLICTED": sum(c for _, c in counts)}
 
 
 def reset_checkpoints(spark: SparkSession, config: Config) -> bool:
@@ -204,9 +212,8 @@ def bronze_union(spark: SparkSession, config: Config, missing: str = "skip") ->
     """MAIN of all sources by name, with lower-cased entity and source_system.  ``missing``: skip or error."""
     parts = []
     for s in config.sources:
-        table = Table(spark, config.path("bronze_main", s.name, s.entity))
-        if table.exists():
-            parts.append(labelled(table.read(), entity=s.entity, source_system=s.name))
+        if bronze_table(spark, config, s).exists():
+            parts.append(labelled(bronze_side(spark, config, s), entity=s.entity, source_system=s.name))
         elif missing == "error":
             raise NoSuchTable(f"no bronze table of {s.key}")
     if not parts:
@@ -214,8 +221,13 @@ def bronze_union(spark: SparkSession, config: Config, missing: str = "skip") ->
     return union_by_name(*parts)
 
 
+def silver_table(spark: SparkSession, config: Config) -> Table:
+    """Main and conflicted records of all sources, partitioned by silver_type."""
+    return Table(spark, config.path("silver", "global"))
+
+
 def silver(spark: SparkSession, config: Config, check_quality: bool = True, strict_compat: bool = False) -> Run:
-    """Match all sources: two tables, main and conflicted.  Rows without required fields go to silver_rejected."""
+    """Match all sources into main and conflicted records.  Rows without required fields go to silver_rejected."""
     run = Run(spark, config, "silver")
     outcome = Outcome("GLOBAL", SILVER_TYPE)
     start = now()
@@ -231,18 +243,11 @@ def silver(spark: SparkSession, config: Config, check_quality: bool = True, stri
             rejected.overwrite(bad)
             run.rejected("GLOBAL", "ALL", "required fields", rejected.count())
             rows = kept
-        staged = Table(spark, config.path("silver_staged"))
-        staged.overwrite(matching.silver(rows, config, strict_compat), ["silver_type"])  # similarity is computed once
-        for kind in ("MAIN", "CONFLICTED"):
-            table = Table(spark, config.path(f"silver_{kind.lower()}", "global"))
-            table.overwrite(staged.read().where(F.col("silver_type") == kind).drop("silver_type", "similarity"))
-            if kind == "MAIN":
-                outcome.inserted = table.count()
-            else:
-                outcome.conflicted = table.count()
-        outcome.incoming = staged.count()
-        staged.vacuum()
-        run.done("GLOBAL", config.path("bronze_main"), config.path("silver_main", "global"), outcome)
+        table = silver_table(spark, config)
+        table.overwrite(matching.silver(rows, config, strict_compat), ["silver_type"])  # similarity is computed once, for both sides
+        outcome.incoming = table.count()
+        outcome.inserted, outcome.conflicted = table.count(partition="silver_type=MAIN"), table.count(partition="silver_type=CONFLICTED")
+        run.done("GLOBAL", config.path("bronze"), table.uri, outcome)
     except Exception as error:
         run.failed("GLOBAL", "GLOBAL", error, start)
     run.finish()
@@ -257,7 +262,7 @@ def gold(spark: SparkSession, config: Config, strict_compat: bool = False, at: d
     run = Run(spark, config, "gold")
     start = now()
     try:
-        both = union_by_name(*[t.read() for t in (Table(spark, config.path(f"silver_{k}", "global")) for k in ("main", "conflicted")) if t.exists()])
+        both = silver_table(spark, config).read().where(F.col("silver_type").isin("MAIN", "CONFLICTED"))
         counts = {r["entity"]: r["n"] for r in both.groupBy(F.lower("entity").alias("entity")).agg(F.count("*").alias("n")).collect()}
     except Exception as error:
         run.failed("GLOBAL", "GLOBAL", error, start)
@@ -268,9 +273,10 @@ def gold(spark: SparkSession, config: Config, strict_compat: bool = False, at: d
         try:
             of = both.where(F.lower("entity") == entity)
             rows = matching.golden(of, RULES[entity], strict_compat) if entity in RULES else of
+            rows = rows.drop("silver_type", "similarity", "bronze_type")
             table = Table(spark, config.path("gold", entity))
             table.overwrite(rows.withColumn("ingestion_date", F.lit(f"{(at or now()):%Y-%m-%d}")), ["ingestion_date"])
-            run.done("GLOBAL", config.path("silver_main", "global"), table.uri, Outcome(entity, GOLD_TYPE, counts[entity], table.count(), 0, start=start))
+            run.done("GLOBAL", silver_table(spark, config).uri, table.uri, Outcome(entity, GOLD_TYPE, counts[entity], table.count(), 0, start=start))
         except Exception as error:
             run.failed("GLOBAL", entity, error, start)
     run.finish()

@@ -76,14 +76,14 @@ def test_incremental_bronze(spark, root):
     jobs.ingest(spark, config, at=at(2))
     by_insert = jobs.bronze(spark, config, at=at(2, 1))
     assert [(o.incoming, o.inserted, o.conflicted) for o in by_insert.outcomes] == [(2, 2, 0)], "batches are ranked within themselves; the update of c1 keeps its old ingestion time"
-    main = Table(spark, config.path("bronze_main", "CRM", "customer")).read()
+    main = jobs.bronze_side(spark, config, config.sources[0])
     assert main.where("email = 'a@x.com'").count() == 2
     assert jobs.global_latest(main, config.sources[0]).where("email = 'a@x.com'").count() == 1
-    assert jobs.bronze_totals(spark, config) == {"bronze_main": 4, "bronze_conflicted": 1}
+    assert jobs.bronze_totals(spark, config) == {"MAIN": 4, "CONFLICTED": 1}
     assert jobs.reset_checkpoints(spark, config)
     again = jobs.bronze(spark, make(root, ("CRM",), reset_mode=True), at=at(3))
     assert [(o.incoming, o.inserted, o.conflicted) for o in again.outcomes] == [(5, 3, 2)]
-    assert jobs.bronze_totals(spark, config) == {"bronze_main": 3, "bronze_conflicted": 2}
+    assert jobs.bronze_totals(spark, config) == {"MAIN": 3, "CONFLICTED": 2}
 
 
 def test_updates_are_seen_by_updated_ts(spark, root):
@@ -106,6 +106,8 @@ def test_silver_and_gold(spark, root):
     silver = jobs.silver(spark, config)
     assert silver.status == "SUCCESS"
     o = silver.outcomes[0]
+    plan = jobs.bronze_side(spark, config, config.sources[0])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bronze_type" in plan
     assert (o.incoming, o.inserted + o.conflicted) == (3, 3)
     gold = jobs.gold(spark, config)
     assert [(r["entity"], r["input_count"], r["output_count"]) for r in jobs.gold_summary(gold).collect()] == [("customer", 3, 2)]
