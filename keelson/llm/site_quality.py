@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.scratch import materialize, small_batches
 
-#: At most so many labelled documents are fitted, those with the smallest hash of their id.
+#: About so many labelled documents are fitted, those with the smallest hash of their id; all if there are fewer.
 MAX_TRAIN = 20_000
 L2 = 1e-2
 STEPS = 25
@@ -113,6 +113,15 @@ def majority_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame
     return known.select("lid", (F.col("y") >= 0.5).cast("double").alias("y"))
 
 
+def training_sample(labelled: DataFrame, bound: int) -> DataFrame:
+    """(y, features) of about ``bound`` rows, the same in every run: those whose id's hash is
+    below the share that is wanted.  No task sends more than its part of them to the driver."""
+    n = labelled.count()
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    rows = labelled if n <= bound else labelled.where(drawn < bound / n)
+    return rows.select("y", *FEATURES)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
     """(id, evidence, host_rate, path_rate, score, kept) for every row of ``docs``.
 
@@ -132,8 +141,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = majority_labels(labels, id_col, label_col)
     measured = measured.select("row.id", "row.host", "row.path", *FEATURES).join(known, F.col("id") == F.col("lid"), "left").drop("lid")
     measured = materialize(measured, "quality-features")
-    sample = measured.where("y IS NOT NULL").select("id", "y", *FEATURES).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    local = sample.select("y", *FEATURES).toPandas()
+    local = training_sample(measured.where("y IS NOT NULL"), max_train).toPandas()
     weights = fit(local[list(FEATURES)].to_numpy(np.float64), local["y"].to_numpy(np.float64))
     evidence = sum((F.lit(float(w)) * F.col(f) for w, f in zip(weights[1:], FEATURES, strict=True)), F.lit(float(weights[0])))
     scored = measured.select("id", "host", "path", "y", evidence.alias("evidence"))

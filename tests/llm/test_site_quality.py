@@ -86,3 +86,11 @@ def test_fit_separates_and_is_bounded():
 def test_query_covers_every_document(spark, sf_dir):
     got = op7_site_quality(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_training_sample_is_bounded_and_repeatable(spark):
+    df = spark.range(20_000).withColumns({"y": F.lit(1.0), **{f: F.col("id").cast("double") for f in q.FEATURES}})
+    rows = sorted(r["log_words"] for r in q.training_sample(df, 1000).collect())
+    assert 850 < len(rows) < 1150
+    assert sorted(r["log_words"] for r in q.training_sample(df.repartition(7), 1000).collect()) == rows
+    assert q.training_sample(df.limit(900), 1000).count() == 900
