@@ -10,33 +10,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.sources.files import Folder
+
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The qualified URI of ``spark.checkpoint.dir``; set here only if it is unset."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> Folder:
+    """The folder ``spark.checkpoint.dir``; set here only if it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = FALLBACK_DIR
         spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return Folder(spark, base)
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared one; removed when the driver's JVM ends."""
-    uri = f"{shared_dir(spark).rstrip('/')}/keelson-{uuid.uuid4().hex}/{label}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path.getParent())
-    fs.deleteOnExit(path.getParent())
-    return uri
+    shared = shared_dir(spark)
+    own = f"keelson-{uuid.uuid4().hex}"
+    shared.fs.mkdirs(shared.path(own))
+    shared.fs.deleteOnExit(shared.path(own))
+    return f"{shared.uri}/{own}/{label}"
 
 
 def drop_dir(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Folder(spark, uri).delete()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

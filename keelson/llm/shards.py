@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -24,7 +25,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.scratch import new_dir
+from keelson.llm.scratch import drop_dir, new_dir
+from keelson.sources.files import Folder
 
 FAN_IN = 4
 SMALL_BYTES = 4 << 20
@@ -73,29 +75,21 @@ class ShardSet:
     """A folder of shards and manifests, at any URI that Spark can write."""
 
     def __init__(self, spark: SparkSession, uri: str):
-        self.spark, self.uri = spark, uri.rstrip("/")
-        self._jvm = spark._jvm
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(self._conf)
-        self._fs.mkdirs(self._path("manifests"))
+        self.spark, self.folder = spark, Folder(spark, uri)
 
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}")
+    @property
+    def uri(self) -> str:
+        return self.folder.uri
 
     def version(self) -> int:
         """The newest version, 0 before the first commit."""
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._path("manifests"))]
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return max((int(n[1:-5]) for n in self.folder.names("manifests") if n.startswith("v") and n.endswith(".json")), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if version == 0:
             return {"version": 0, "schema": None, "runs": []}
-        source = self._fs.open(self._path(f"manifests/v{version:012d}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
-        finally:
-            source.close()
+        return self.folder.read_json(f"manifests/v{version:012d}.json")
 
     def runs(self, version: int | None = None) -> list[Run]:
         return [Run(**x) for x in self.manifest(version)["runs"]]
@@ -103,14 +97,7 @@ class ShardSet:
     def _commit(self, parent: int, operation: str, schema: str, runs: list[Run]) -> int:
         version = parent + 1
         body = {"version": version, "operation": operation, "schema": schema, "runs": [asdict(r) for r in sorted(runs, key=lambda r: r.path)]}
-        draft = self._path(f"manifests/.draft-{self._jvm.java.util.UUID.randomUUID()}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(body), "utf-8"))
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = getattr(self._jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self._conf)
-        context.rename(draft, self._path(f"manifests/v{version:012d}.json"), options)
+        self.folder.create_json(f"manifests/v{version:012d}.json", body)
         return version
 
     def _written(self, folder: str, schema) -> list[Run]:
@@ -119,7 +106,7 @@ class ShardSet:
         return [Run(r["path"], r["bytes"], r["rows"]) for r in rows.toLocalIterator()]
 
     def _new_folder(self) -> str:
-        return f"{self.uri}/data/{self._jvm.java.util.UUID.randomUUID()}"
+        return f"{self.uri}/data/{uuid.uuid4().hex}"
 
     def append(self, docs: DataFrame) -> int:
         """Add ``docs`` as small shards, one for each of its partitions that has rows."""
@@ -153,7 +140,7 @@ class ShardSet:
             self._commit(parent["version"], "compact", parent["schema"], [r for r in self.runs() if r.path not in gone] + made)
             if not keep_old:
                 for path in sorted(gone):
-                    self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), False)
+                    drop_dir(self.spark, path)
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame | None:

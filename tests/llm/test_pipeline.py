@@ -49,4 +49,4 @@ def test_run_returns_the_last_stage(spark, sf_dir):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    assert scratch.shared_dir(spark).rstrip("/").endswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/"))
+    assert scratch.shared_dir(spark).uri.endswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/"))
