@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.config import DEFAULT_THRESHOLD, Config
+from keelson.functions import quality
 from keelson.functions import similarity as sim
 from keelson.functions.standardize import created_date
-from keelson.operators.entities import RULES, EntityRule, survivorship_order
+from keelson.operators.entities import DRAFT_CUSTOMER, RULES, EntityRule, survivorship_order
 from keelson.operators.setops import union_by_name
 from keelson.operators.survivors import SALTS, first_of_key, with_survivor
+from keelson.session import importable
 
 Score = Callable[[list[tuple[Column, Column]]], Column]
 
@@ -42,6 +44,7 @@ def resolve(df: DataFrame, rule: EntityRule, config: Config | None = None, thres
     A row whose fields are all missing on one side scores 0 and is promoted.
     ``strict_compat`` gives such rows, and rows with a NULL blocking key, the type NULL:
     the outputs that would lose them can filter on it."""
+    importable(df.sparkSession)
     found = blocked(df, rule, leave_out, strict_compat, salts)
     pairs = [(F.when(~F.col("__survivor"), F.col(c)), F.when(~F.col("__survivor"), F.col(f"__main.{c}"))) for c in rule.compared if c in df.columns]
     found = found.withColumn("similarity", F.when(F.col("__survivor"), F.lit(None).cast("double")).otherwise((score or sim.multi_similarity)(pairs)))
@@ -63,6 +66,15 @@ def draft_score(pairs: list[tuple[Column, Column]]) -> Column:
     return sim.weighted_similarity(*pairs)
 
 
+def draft_silver(df: DataFrame, strict_compat: bool = False, salts: int = SALTS) -> DataFrame:
+    """The draft rule for customers: rows with an id and well-formed e-mail and telephone,
+    blocked by mail domain, telephone prefix and sound of the first name, compared by
+    weights, threshold 80."""
+    rule = DRAFT_CUSTOMER
+    good, _ = quality.split(df, quality.present(rule.required) & quality.valid_email(F.col("email")) & quality.valid_phone(F.col("phone")))
+    return resolve(created_date(good), rule, threshold=80.0, strict_compat=strict_compat, score=draft_score, salts=salts)
+
+
 def silver(df: DataFrame, config: Config | None = None, strict_compat: bool = False, salts: int = SALTS) -> DataFrame:
     """All entities of a bronze union in one table, with silver_type; an unknown entity passes as MAIN."""
     df = created_date(df)

@@ -451,10 +451,16 @@ def similarity_ratio(spark, sf_dir):
     return found.select("account_id", F.round("similarity", 6).alias("similarity"), "silver_type")
 
 
+@query(f"""
+SELECT customer_id, row_number() OVER (PARTITION BY split_part(email, '@', -1), substr(phone, 1, 3), {soundex_sql("first_name")}
+  ORDER BY {_order_sql(DRAFT_CUSTOMER, COLUMNS["customer"])}) = 1 AS survivor FROM ({fx.oracle(fx.PEOPLE)})""")
+def survivorship_draft(spark, sf_dir):
+    return matching.blocked(fx.relation(spark, sf_dir, fx.PEOPLE), DRAFT_CUSTOMER).select("customer_id", F.col("__survivor").alias("survivor"))
+
+
 @query()
 def similarity_weighted(spark, sf_dir):
-    people = fx.relation(spark, sf_dir, fx.PEOPLE)
-    found = matching.resolve(people, DRAFT_CUSTOMER, threshold=80.0, score=matching.draft_score)
+    found = matching.draft_silver(fx.relation(spark, sf_dir, fx.PEOPLE).withColumn("phone", F.translate("phone", "()", "")))
     return found.select("customer_id", F.round("similarity", 6).alias("similarity"), "silver_type")
 
 

@@ -226,8 +226,9 @@ def silver_table(spark: SparkSession, config: Config) -> Table:
     return Table(spark, config.path("silver", "global"))
 
 
-def silver(spark: SparkSession, config: Config, check_quality: bool = True, strict_compat: bool = False) -> Run:
-    """Match all sources into main and conflicted records.  Rows without required fields go to silver_rejected."""
+def silver(spark: SparkSession, config: Config, check_quality: bool = True, strict_compat: bool = False, by_source: bool = False) -> Run:
+    """Match all sources into main and conflicted records.  Rows without required fields go
+    to silver_rejected.  ``by_source`` also partitions the table by source system."""
     run = Run(spark, config, "silver")
     outcome = Outcome("GLOBAL", SILVER_TYPE)
     start = now()
@@ -244,7 +245,7 @@ def silver(spark: SparkSession, config: Config, check_quality: bool = True, stri
             run.rejected("GLOBAL", "ALL", "required fields", rejected.count())
             rows = kept
         table = silver_table(spark, config)
-        table.overwrite(matching.silver(rows, config, strict_compat), ["silver_type"])  # similarity is computed once, for both sides
+        table.overwrite(matching.silver(rows, config, strict_compat), ["silver_type", "source_system"] if by_source else ["silver_type"])  # similarity is computed once, for both sides
         outcome.incoming = table.count()
         outcome.inserted, outcome.conflicted = table.count(partition="silver_type=MAIN"), table.count(partition="silver_type=CONFLICTED")
         run.done("GLOBAL", config.path("bronze"), table.uri, outcome)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: ANSI stays on: values that may not parse go through try_* functions, which give NULL.
@@ -14,6 +16,18 @@ DEFAULTS = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where the driver did.
+
+    Enough in local mode and where executors see the same path; else ship the package
+    with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def get_spark(app_name: str = "keelson", master: str | None = None, **conf: str) -> SparkSession:
     """A session with keelson's defaults; ``conf`` keys may use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

@@ -116,6 +116,16 @@ def test_silver_and_gold(spark, root):
     assert {(r["first_name"], r["source_system"]) for r in table.collect()} == {("ann", "erp"), ("bob", "crm")}
 
 
+def test_silver_by_source_keeps_both_layouts_readable(spark, root):
+    config = make(root)
+    jobs.ingest(spark, config)
+    jobs.bronze(spark, config)
+    assert jobs.silver(spark, config, by_source=True).status == "SUCCESS"
+    table = jobs.silver_table(spark, config)
+    assert table.read().where("source_system = 'erp'").count() == 1
+    assert table.count(partition="source_system=erp") == 1
+
+
 def test_silver_without_bronze_is_a_recorded_failure(spark, root):
     config = make(root)
     assert jobs.silver(spark, config).status == "FAILED"
