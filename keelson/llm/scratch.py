@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.session import importable
 from keelson.sources.files import Folder
 
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -49,9 +50,13 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ARROW_BATCH_BYTES: every task holds a batch several
-    times over (in the JVM, on the wire, as Python objects), and texts may be long.  A lower
-    setting of the session stays."""
+    """Prepare a session for Python on texts: workers can import this package, and Arrow
+    batches are small.
+
+    Lowers the session's Arrow batches to ARROW_BATCH_BYTES: every task holds a batch
+    several times over (in the JVM, on the wire, as Python objects), and texts may be
+    long.  A lower setting of the session stays."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now <= 0 or now > ARROW_BATCH_BYTES:
