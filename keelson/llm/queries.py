@@ -45,6 +45,40 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def _op3_sql() -> str:
+    limits = line_quality.Limits()
+    separators = ", ".join(f"'{x.decode()}'" for x in sorted(line_quality.SEPARATORS))
+    furniture = " OR ".join(f"contains(lower(line), '{x.decode()}')" for x in line_quality.BOILERPLATE)
+    word, symbols = r"'[^\x20\x09-\x0D]+'", f"'[{line_quality.SYMBOLS}]'"
+
+    def share(condition: str, limit: float, of: str = "n") -> str:
+        return f"len(list_filter(ws, lambda x: {condition})) > {limit}::DOUBLE * {of}"
+
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, {word}) AS ws FROM texts)),
+windows AS (SELECT *, lead(word, 1) OVER d AS w2, lead(word, 2) OVER d AS w3 FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT *, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS hit FROM windows),
+covered AS (SELECT doc_id, word, hit OR coalesce(lag(hit, 1) OVER d, false) OR coalesce(lag(hit, 2) OVER d, false) AS again FROM hits WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+words AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (again) AS n_repeat_words FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, line, regexp_extract_all(line, {word}) AS ws, len(regexp_extract_all(line, {word})) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
+judged AS (SELECT doc_id, line, n,
+    (n >= 3 AND {share(f"x IN ({separators})", limits.separator_share)})
+    OR {share(f"regexp_matches(x, {symbols}) AND x NOT IN ({separators})", limits.symbol_words_share)}
+    OR (n >= {limits.shout_min_words} AND regexp_matches(line, '[A-Za-z]') AND {share("ends_with(x, '!!')", limits.shout_share)})
+    OR (n >= {limits.shout_min_words} AND {share("regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')", limits.shout_share)})
+    OR (n >= {limits.stutter_min_words} AND len(list_filter(range(1, n), lambda k: ws[k] = ws[k + 1])) > {limits.stutter_share}::DOUBLE * (n - 1))
+    OR (n <= {limits.boilerplate_max_words} AND ({furniture})) AS fails
+  FROM lines WHERE n > 0),
+lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
+found AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, {symbols})) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words
+  FROM texts LEFT JOIN words USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < {limits.base_min_words} OR 100 * n_repeat_words > {limits.base_max_repeat_percent} * n_words AS base_failed,
+       NOT (n_words < {limits.base_min_words} OR 100 * n_repeat_words > {limits.base_max_repeat_percent} * n_words) AND n_lost_words <= {limits.max_lost_share}::DOUBLE * n_words AS kept
+FROM found"""
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("content").withColumnsRenamed({"id": "doc_id", "item": "item_id"}).withColumn("coverage", F.round("coverage", 6)).withColumn("slot_agreement", F.round("slot_agreement", 6))
@@ -109,5 +143,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op3_line_quality": _op3_sql(),
     "op8_warc_roundtrip": OP8_SQL,
 }

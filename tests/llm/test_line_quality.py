@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import line_quality as q
-from keelson.llm.queries import op3_line_quality
+from keelson.llm.queries import ORACLE_SQL, op3_line_quality
+from tests.oracle import assert_same
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,3 +100,7 @@ def test_verdicts_agree_with_labels(spark, sf_dir, sf):
     rows = [r for r in op3_line_quality(spark, where).collect() if r["doc_id"] in labels and not r["base_failed"]]
     right = sum(r["kept"] == (labels[r["doc_id"]] == 1) for r in rows)
     assert right >= 0.98 * len(rows) and rows
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert_same(op3_line_quality(spark, sf_dir), ORACLE_SQL["op3_line_quality"], sf_dir)
