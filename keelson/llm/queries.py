@@ -17,6 +17,31 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _op1_sql() -> str:
+    seed, weights = source_mix.SEED, ", ".join(map(str, source_mix.WEIGHTS))
+
+    def draw(what: str, value: str) -> str:
+        return f"CAST('0x' || substr(md5('{seed}:{what}:' || coalesce(CAST({value} AS VARCHAR), '')), 1, 13) AS BIGINT)"
+
+    return f"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(count(*) / {source_mix.STRIPE_ROWS}.0) AS BIGINT) AS stripes FROM sized GROUP BY source),
+weighed AS (SELECT *, ([{weights}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(source_mix.WEIGHTS)}] AS weight, source_size * {source_mix.MOST_COPIES} AS cap FROM sources),
+total AS (SELECT CAST(sum(source_size) * {source_mix.SHARE_PERCENT} AS DOUBLE) / 100 AS words FROM weighed),
+levels AS (  -- the level if all sources whose cap for a unit of weight is at most r are capped
+    SELECT r, (words - coalesce((SELECT sum(cap) FROM weighed WHERE CAST(cap AS DOUBLE) / weight <= r), 0))
+              / (SELECT sum(weight) FROM weighed WHERE CAST(cap AS DOUBLE) / weight > r) AS level
+    FROM (SELECT -1.0::DOUBLE AS r UNION SELECT CAST(cap AS DOUBLE) / weight FROM weighed), total),
+chosen AS (SELECT arg_min(level, r) AS level FROM levels l WHERE level IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM weighed WHERE CAST(cap AS DOUBLE) / weight > l.r AND CAST(cap AS DOUBLE) <= l.level * weight)),
+targets AS (SELECT source, source_size, stripes, least(CAST(cap AS DOUBLE), level * weight) AS target FROM weighed, chosen),
+placed AS (SELECT doc_id, size, t.source, source_size, target, {draw("stripe", "doc_id")} % stripes AS stripe FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY stripe, CASE WHEN stripe % 2 = 0 THEN size ELSE -size END, {draw("tie", "doc_id")}, doc_id NULLS FIRST) - 1 AS r,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate, ({draw("offset", "source")} + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS o FROM placed)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN least(floor((r + 1) * rate + o) - floor(r * rate + o), {source_mix.MOST_COPIES}) ELSE 0 END AS BIGINT) * size AS taken
+FROM ranked"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -142,6 +167,7 @@ QUERIES = {
     "op10_tiered_shards": op10_tiered_shards,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": _op1_sql(),
     "op2_line_dedup": OP2_SQL,
     "op3_line_quality": _op3_sql(),
     "op8_warc_roundtrip": OP8_SQL,

@@ -37,6 +37,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def draw(seed: int, what: str, value: Column) -> Column:
+    """52 hashed bits of a value, the same in every engine that has MD5."""
+    text = F.concat(F.lit(f"{seed}:{what}:"), F.coalesce(value.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def _ordered(df: DataFrame, label: str, *keys: Column) -> DataFrame:
     """``df`` in one global order of ``keys``, written, with __task and __place (0, 1, …) of each row."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -90,11 +96,11 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     """
     spark = sized.sparkSession
     base = sized.drop("source_size", "target", "copies")
-    tie = F.xxhash64(F.lit(seed), F.col(id_col))
+    tie = draw(seed, "tie", F.col(id_col))
     counted = base.groupBy(F.col(source_col).alias("__of")).agg(F.ceil(F.count("*") / STRIPE_ROWS).alias("__stripes"))
     counted = materialize(counted, "mix-stripes")  # its size is known now, so Spark broadcasts it only if it is small
     base = base.join(counted, F.col(source_col).eqNullSafe(F.col("__of")))
-    stripe = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.col("__stripes"))
+    stripe = draw(seed, "stripe", F.col(id_col)) % F.col("__stripes")
     along_size = F.when(stripe % 2 == 0, F.col(size_col)).otherwise(-F.col(size_col))
     base = _ordered(base, "mix-order", F.col(source_col).asc_nulls_last(), stripe, along_size, tie, F.col(id_col))
     parts = base.groupBy(F.col(source_col).alias("source"), "__task").agg(F.count("*").alias("rows"), F.sum(size_col).alias("words"), F.min("__place").alias("first"))
@@ -103,7 +109,7 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     targets = _targets(sizes, weights, share_percent, most)
     along = Window.partitionBy("source").orderBy("__task").rowsBetween(Window.unboundedPreceding, 0)
     starts = parts.select("source", "__task", (F.sum("rows").over(along) - F.col("rows") - F.col("first")).alias("start"))
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("t.source")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    offset = (draw(seed, "offset", F.col("t.source")) + F.lit(0.5)) / F.lit(float(1 << 52))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     facts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     facts = facts.select(F.col("t.source").alias("__source"), F.col("__task").alias("__at"), "start", "source_size", "target", rate.alias("rate"), offset.alias("offset"))

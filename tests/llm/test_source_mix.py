@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import source_mix
-from keelson.llm.queries import op1_source_mix
+from keelson.llm.queries import ORACLE_SQL, op1_source_mix
+from tests.oracle import assert_same
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +116,7 @@ def test_query(spark, sf_dir):
 def test_main_path_has_no_python(spark, sf_dir):
     plan = op1_source_mix(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert_same(op1_source_mix(spark, sf_dir), ORACLE_SQL["op1_source_mix"], sf_dir)
