@@ -85,10 +85,8 @@ def ingest(spark: SparkSession, config: Config, only: str | None = None, secret:
             outcome.incoming = outcome.inserted = raw.count()
         else:
             outcome.load_type = MERGE
-            before = raw.count()
-            outcome.incoming = rows.count()
-            raw.upsert(rows, keys, preserve=["ingestion_ts"])
-            outcome.inserted = raw.count() - before
+            done = raw.metrics(raw.upsert(rows, keys, preserve=["ingestion_ts"]))
+            outcome.incoming, outcome.inserted = done["rows_in_source"], done["rows_inserted"]
         run.done(source.name, source.path, raw.uri, outcome)
 
     _each_source(run, only, step)

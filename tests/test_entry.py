@@ -21,3 +21,14 @@ def test_nothing_else_imports_the_optional_operators():
     for p in (REPO / "keelson").rglob("*.py"):
         if "llm" not in p.relative_to(REPO).parts:
             assert "keelson.llm" not in p.read_text(), p
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+import __spark_entry__ as e
+assert e.queries()["similarity_ratio"](s, "/root/testdata/sf0.001").count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=180)

@@ -69,7 +69,7 @@ def test_upsert(spark, table):
     table.upsert(spark.createDataFrame([(2, "B", 20), (3, "c", 20), (None, "m", 20)], SCHEMA), ["k"], preserve=["at"])
     assert rows(table.read()) == sorted([(1, "a", 10), (2, "B", 10), (3, "c", 20), (9, "far", 10), (None, "m", 20), (None, "n", 10)], key=repr)
     last = table.history().first()
-    assert last["metrics"]["rows_inserted"] == 2
+    assert last["metrics"]["rows_inserted"] == 2 and table.metrics()["rows_in_source"] == 3
     files = set(table._state(1)[1]) & set(table._state(2)[1])
     assert files, "files without a matching key are not rewritten"
     before = rows(table.read())
