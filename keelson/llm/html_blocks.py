@@ -26,16 +26,23 @@ RAW = frozenset("script style textarea title noembed noframes xmp iframe svg tem
 #: Elements that never hold article text.
 FURNITURE_TAGS = frozenset("nav footer aside form button select option textarea dialog menu noscript script style title iframe svg template object applet canvas audio video map datalist fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id that mark page furniture.
+#: Last words of a class or id that mark page furniture: main-menu, site-footer.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox"
-    " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager topbar toolbar masthead header footer sidebar aside rail widget widgets"
+    " nav navbar navigation subnav topnav sidenav menu submenu breadcrumb breadcrumbs pagination pager topbar toolbar masthead header footer sidebar side aside rail widget widgets"
     " newsletter subscribe subscription signup login signin register share sharing social related recommended recommendations trending popular"
-    " comment comments commentlist disqus respond reply replies discussion feedback search skip copyright disclaimer".split()
+    " comment comments commentlist disqus respond responses reply replies discussion feedback search skip copyright disclaimer".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
-#: Words that mark the content itself; they outweigh the words above unless those say reader comments.
-CONTENT_WORDS = frozenset("content article post entry main story body text page wrapper container site layout".split())
+#: First words that mark all that they name: ad-top, comment-body, sidebar-content.
+FURNITURE_FIRST = frozenset("ad ads advert advertisement sponsored promo cookie cookies consent newsletter sidebar footer nav navbar menu breadcrumb social share related comment comments disqus popup modal".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond responses reply replies discussion".split())
+#: Parts of words written together: cookiebar, pagefooter.
+FURNITURE_PARTS = ("sidebar", "footer", "cookie", "newsletter", "breadcrumb", "advert", "navbar", "navigation", "popup")
+CONTENT_WORDS = frozenset("content article post entry main story body text".split())
+#: Words that say nothing about what is inside.
+NEUTRAL_WORDS = frozenset("wrapper wrap container box block area section inner outer bar list item items link links holder group panel unit slot zone row col column".split())
+#: First words of a class that tells about a layout: has-sidebar.
+STATE_WORDS = frozenset("has with without no not is".split())
 ROOT_TAGS = frozenset(("article", "main"))
 CLOSED_BY = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -60,9 +67,21 @@ class Node:
     link_chars: int = 0
 
 
-def _words(value: str) -> set[str]:
-    parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-    return {w.lower() for w in re.split(r"[^A-Za-z]+", parts) if w}
+def _kind(name: str) -> str | None:
+    """What a class or id says an element is: furniture, comment, content or None."""
+    parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", name)
+    words = [w.lower() for w in re.split(r"[^A-Za-z]+", parts) if w]
+    while len(words) > 1 and words[-1] in NEUTRAL_WORDS:
+        words.pop()
+    if not words or words[0] in STATE_WORDS:
+        return None
+    if words[0] in COMMENT_WORDS or words[-1] in COMMENT_WORDS:
+        return "comment"
+    if words[-1] == "header" and CONTENT_WORDS & set(words[:-1]):
+        return None  # the title of an article
+    if words[0] in FURNITURE_FIRST or words[-1] in FURNITURE_WORDS or any(x in w for w in words for x in FURNITURE_PARTS):
+        return "furniture"
+    return "content" if words[-1] in CONTENT_WORDS else None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -78,10 +97,10 @@ def is_furniture(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    words = _words(f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    if words & COMMENT_WORDS:
-        return not (words & {"content", "main"} and tag in ROOT_TAGS)
-    return bool(words & FURNITURE_WORDS) and not words & CONTENT_WORDS and tag not in ROOT_TAGS
+    kinds = {_kind(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
+    if "comment" in kinds:
+        return "content" not in kinds
+    return "furniture" in kinds and "content" not in kinds and tag not in ROOT_TAGS
 
 
 def signature(tag: str, attrs: dict[str, str]) -> str:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import wrappers as w
-from keelson.llm.html_blocks import parse
+from keelson.llm.html_blocks import is_furniture, parse
 from keelson.llm.queries import op6_wrapper_extraction
 
 
@@ -63,6 +63,24 @@ def test_articles_without_furniture(open_, close):
     assert w.extract(page, w.rules(of(page))) == TEXT
 
 
+@pytest.mark.parametrize(
+    "names, furniture",
+    [
+        ("main-nav", True), ("site-footer", True), ("page-header", True), ("ad-top", True), ("sidebar-content", True), ("cookiebar", True), ("shareButtons", True), ("comment-body", True),
+        ("post-comments", True), ("menu-item active", True), ("content", False), ("post-content", False), ("has-sidebar", False), ("no-comments", False), ("entry-header", False), ("content with-sidebar", False),
+        ("shadow", False), ("reading", False), ("heading", False), ("col-12 row", False), ("", False),
+    ],
+)
+def test_names(names, furniture):
+    assert is_furniture("div", {"class": names}) is furniture
+
+
+def test_article_elements_by_name():
+    assert not is_furniture("article", {"class": "post related"})
+    assert is_furniture("article", {"class": "comment"})
+    assert not is_furniture("body", {"class": "sidebar"})
+
+
 def test_links_in_the_article_stay_and_link_lists_outside_go():
     page = "<div class=z><ul><li><a href=1>alpha</a><li><a href=2>beta</a></ul></div><div class=k><p>See <a href=3>this</a> and read on, please do.</p></div>"
     assert w.extract(page, w.rules(of(page))) == "See this and read on, please do."
