@@ -8,7 +8,10 @@ pasted into a sentence, lower-cased text), so a window that holds a name is also
 hashed with the name as a plain word.  Windows of documents and benchmark meet
 in a hash join.  A document is contaminated by an item if it holds at least 80 %
 of the item's windows and fills the item's slots consistently: each value of the
-item stands for one value of the document.
+item stands for one value of the document.  Values are first judged over all
+windows of the document at once; a pair refused there is judged again by each
+place where the item occurs, as a document may hold an item several times with
+other values, and one consistent occurrence is enough.
 
 Before the join, documents drop the windows that cannot match by a Bloom filter
 over the benchmark's windows.  The filter has a fixed number of bits, so what is
@@ -19,6 +22,9 @@ windows through to the join, which is exact.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,8 @@ COVERAGE = 0.8
 AGREEMENT = 0.8
 LEAST_LITERALS = 3
 BLOOM_BITS = 1 << 23
+#: How far the windows of one occurrence may be moved against each other, as a share of the item's windows.
+SLACK = 0.25
 SLOT = b"\x01"
 UNITS = "%|°c|°f|km/h|mph|km|cm|mm|kg|mg|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kw|kwh|miles?|feet|foot|inch(?:es)?|yards?|pounds?|ounces?|grams?|metres?|meters?|lit(?:re|er)s?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|gbp|percent|degrees?"
 NUMBER = re.compile(rf"(?<![\w.])([$€£¥]?)(\d+(?:[.,:/]\d+)*)(?:\s?({UNITS})(?!\w))?", re.IGNORECASE)
@@ -150,6 +158,85 @@ def _bloom(hashes: DataFrame):
     return spark.sparkContext.broadcast(filled.tobytes())
 
 
+@lru_cache(maxsize=256)
+def _item_windows(text: str, width: int, least_literals: int) -> list[tuple]:
+    return list(placed_windows(text, width, least_literals))
+
+
+def _agreement(uses: Counter) -> tuple[int, float, bool]:
+    """(uses of slots, share of those that give each item value its commonest document value,
+    whether a value differs) of the uses of (item value, document value)."""
+    best: Counter = Counter()
+    for (of, _), n in uses.items():
+        best[of] = max(best[of], n)
+    total = sum(uses.values())
+    return total, sum(best.values()) / total if total else 1.0, any(a != b for a, b in uses)
+
+
+def consistent_occurrence(text: str | None, item_text: str | None, width: int = WIDTH, coverage: float = COVERAGE, agreement: float = AGREEMENT, least_literals: int = LEAST_LITERALS) -> tuple[int, float, bool] | None:
+    """(uses of slots, agreement, whether a value differs) of the most consistent occurrence
+    of an item in a text, None if none is consistent.
+
+    An occurrence begins at a place of the text and takes for each window of the item
+    the equal window nearest to where it should be, not farther than SLACK.  A text
+    that holds 80 % of the windows with the item's own values is one at any order."""
+    item = _item_windows(item_text or "", width, least_literals)
+    least = coverage * len({k for k, _, _ in item})
+    sought = np.array(sorted({h for _, h, _ in item}), np.int64)
+    places: dict[int, list] = defaultdict(list)
+    for p, h, filled in placed_windows(text, width, least_literals, lambda hs: np.flatnonzero(np.isin(hs, sought)).tolist()):
+        places[h].append((p, filled))
+    found = [(k, h, filled) for k, h, filled in item if h in places]
+    if not found:
+        return None
+    at = {h: np.array([p for p, _ in spots], np.int64) for h, spots in places.items()}
+    own = {(h, filled) for h, spots in places.items() for _, filled in spots}
+    if len({k for k, h, filled in found if (h, filled) in own}) >= least:
+        return sum(len(filled) for _, _, filled in found), 1.0, False
+    first = max(k for k, _, _ in found)
+    starts = np.zeros(first + 1 + max(int(ps[-1]) for ps in at.values()), np.int64)
+    for k, h, _ in found:
+        starts[at[h] - k + first] += 1
+    slack = max(width, int(SLACK * len(item)))
+    upto = np.concatenate(([0], np.cumsum(starts)))
+    here = np.flatnonzero(starts)
+    near = upto[np.minimum(here + slack + 1, len(starts))] - upto[np.maximum(here - slack, 0)]
+    best = None
+    for start in (here[near >= least] - first).tolist():
+        uses: Counter = Counter()
+        matched = set()
+        for k, h, filled in found:
+            spots, wish = places[h], start + k
+            i = bisect_left(spots, wish, key=lambda x: x[0])
+            i = min((j for j in (i - 1, i) if 0 <= j < len(spots)), key=lambda j: abs(spots[j][0] - wish))
+            if abs(spots[i][0] - wish) <= slack:
+                matched.add(k)
+                uses.update(zip(filled, spots[i][1], strict=True))
+        if len(matched) >= least:
+            judged = _agreement(uses)
+            if judged[1] >= agreement and (best is None or (judged[1], not judged[2]) > (best[1], not best[2])):
+                best = judged
+    return best
+
+
+def _judged_again(width: int, coverage: float, agreement: float, least_literals: int):
+    """(row, item, text, item_text) to (row, item, n_slots, slot_agreement, reparameterised) of the pairs with a consistent occurrence."""
+
+    def run(batches):
+        for batch in batches:
+            found = [consistent_occurrence(x, y, width, coverage, agreement, least_literals) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            n, share, moved = zip(*filter(None, found), strict=True) if len(at) else ((), (), ())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(moved, pa.bool_())], ["row", "item", "n_slots", "slot_agreement", "reparameterised"])
+
+    return run
+
+
+def _keyed_texts(df: DataFrame, id_col: str, text_col: str, key: str, name: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("content")).alias(key), text.alias(name))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, agreement: float = AGREEMENT, least_literals: int = LEAST_LITERALS) -> DataFrame:
     """Contaminated pairs: (id, content, item, item_windows, matched_windows, coverage, n_slots, slot_agreement, reparameterised).
 
@@ -172,7 +259,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by_value = uses.groupBy("row", "item", "of").agg(F.max("n").alias("best"), F.sum("n").alias("n"), F.max((F.col("of") != F.col("is")).cast("int")).alias("moved"))
     slots = by_value.groupBy("row", "item").agg(F.sum("n").alias("n_slots"), (F.sum("best") / F.sum("n")).alias("slot_agreement"), F.max("moved").alias("moved"))
     found = pairs.join(slots, ["row", "item"], "left").withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "slot_agreement": F.coalesce("slot_agreement", F.lit(1.0)), "reparameterised": F.coalesce(F.col("moved") > 0, F.lit(False))})
+    found = materialize(found, "judged-pairs")
+    refused = found.where(F.col("slot_agreement") < agreement)
     found = found.where(F.col("slot_agreement") >= agreement)
+    if not refused.isEmpty():
+        refused = materialize(refused.drop("n_slots", "slot_agreement", "reparameterised", "moved"), "refused-pairs")
+        texts = refused.select("row", "item").join(_keyed_texts(benchmark, item_col, item_text_col, "item", "item_text").distinct(), "item")
+        texts = _keyed_texts(docs, id_col, text_col, "row", "text").join(texts, "row").select("row", "item", "text", "item_text")
+        kinds = [texts.schema[c] for c in ("row", "item")]
+        schema = T.StructType([*kinds, T.StructField("n_slots", T.LongType()), T.StructField("slot_agreement", T.DoubleType()), T.StructField("reparameterised", T.BooleanType())])
+        again = texts.mapInArrow(_judged_again(width, coverage, agreement, least_literals), schema).distinct()
+        found = found.drop("moved").unionByName(refused.join(again, ["row", "item"]))
     return found.select(F.col("row.id").alias("id"), F.col("row.content").alias("content"), F.col("item.id").alias("item"), "item_windows", "matched_windows", "coverage", "n_slots", "slot_agreement", "reparameterised")
 
 

@@ -64,6 +64,21 @@ def test_inconsistent_slots_are_refused(spark):
     assert set(got) == {(1, 5)}
 
 
+def test_one_consistent_occurrence_is_enough(spark):
+    more = ITEM.replace("60", "12").replace("3 hours", "9 hours").replace("45", "31").replace("Alice", "Maria").replace("Boston", "Dallas")
+    docs = [(1, f"{ITEM} {OTHER}"), (2, f"{FILLER}{OTHER}\n{FILLER}{more}\n{FILLER}{ITEM}"), (3, " ".join([OTHER, more] * 20)), (4, FILLER)]
+    got = run(spark, docs, [(9, ITEM)])
+    assert set(got) == {(1, 9), (2, 9), (3, 9)}
+    assert [got[i, 9]["reparameterised"] for i in (1, 2, 3)] == [False, False, True]
+    assert all(r["slot_agreement"] == 1.0 for r in got.values())
+
+
+def test_an_item_that_repeats_its_windows_with_other_values(spark):
+    item = " ".join(f"then add exactly {n} grams of salt to the pot" for n in (1, 2, 3, 4, 5))
+    got = run(spark, [(1, f"{FILLER}{item}"), (2, FILLER)], [(5, item)])
+    assert set(got) == {(1, 5)} and not got[1, 5]["reparameterised"]
+
+
 def test_canonical_tokens():
     tokens, values = t.canonical("On Monday, we saw Anna pay $3.50 for 5km (or 7 miles), 20% more. \x01 Then")
     assert b" ".join(tokens) == b"on \x01p we saw \x01p pay \x01n \x01u for \x01n \x01u or \x01n \x01u \x01n \x01u more then"
