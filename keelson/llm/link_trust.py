@@ -3,9 +3,16 @@
 In DataFrame operations only.  Hosts are the nodes, links between pages of
 different hosts the edges, weighted by their number.  Trust flows from trusted
 hosts along the edges and distrust from blocked hosts against them, both by
-personalised PageRank with one unit at each seed, so that a score doesn't depend
-on the size of the graph.  A host whose distrust exceeds its trust by
-``MARGIN`` is blocked.
+personalised PageRank with one unit at each seed.  A host whose distrust exceeds
+its trust by ``MARGIN`` is blocked.
+
+PageRank splits a seed's unit over all that link to it, so that each host of a
+large farm gets little.  The same is therefore asked relative to a host's own
+links: the chance that a walk along its links, going on with ``DAMPING`` at every
+step, comes to a blocked host, and that a walk back along the links into it comes
+to a trusted one.  These don't depend on the size of the graph or on how many
+others link to a seed; a host is also blocked if the first exceeds the second by
+``MARGIN``.
 
 Seeds come from the rules: a host is trusted (blocked) if rules allow (block)
 more than ``SEED_SHARE`` of its pages; of hosts known only from links, if the
@@ -78,18 +85,25 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, walks: bool = False) -> DataFrame:
     """(host, trust, distrust) from ``edges`` (src, dst, n) and ``seeds`` (host, good, bad: 0 or 1).
 
-    Every host of ``seeds`` is a node, and every end of an edge must be one.
+    With ``walks`` the chances of a host's walks to come to a seed, which is 1 at the
+    seeds themselves, instead of PageRank.  Every host of ``seeds`` is a node, and every end of an edge must be one.
     Rounds are written to the shared folder; one number a round reaches the driver."""
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
-    forward = edges.join(out, "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
-    backward = edges.join(into, "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("all")).alias("d"))
+    if walks:  # a host's own links sum to one, not those of the host that a score comes from
+        out, into = into.withColumnRenamed("dst", "of"), out.withColumnRenamed("src", "of")
+        shared_out, shared_in = edges.join(out, F.col("dst") == F.col("of")), edges.join(into, F.col("src") == F.col("of"))
+    else:
+        shared_out, shared_in = edges.join(out, "src"), edges.join(into, "dst")
+    forward = shared_out.select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
+    backward = shared_in.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("all")).alias("d"))
     flows = materialize(forward.union(backward).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "trust-flows")
-    base = seeds.select("host", (F.lit(1 - damping) * F.col("good")).alias("good"), (F.lit(1 - damping) * F.col("bad")).alias("bad"))
+    unit = F.lit(1.0 if walks else 1 - damping)
+    base = seeds.select("host", (unit * F.col("good")).alias("good"), (unit * F.col("bad")).alias("bad"))
     base = materialize(base, "trust-seeds")
     now, last = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), None
     for _ in range(MAX_ROUNDS):
@@ -98,6 +112,8 @@ def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -
         fresh = base.join(gained, base["host"] == gained["to"], "left").join(now.select(F.col("host").alias("h"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")), F.col("host") == F.col("h"))
         trust = F.col("good") + damping * F.coalesce("t", F.lit(0.0))
         distrust = F.col("bad") + damping * F.coalesce("d", F.lit(0.0))
+        if walks:
+            trust, distrust = F.when(F.col("good") > 0, 1.0).otherwise(trust), F.when(F.col("bad") > 0, 1.0).otherwise(distrust)
         uri = new_dir(spark, "trust-round")
         fresh.select("host", trust.alias("trust"), distrust.alias("distrust"), F.greatest(F.abs(trust - F.col("t0")), F.abs(distrust - F.col("d0"))).alias("change")).write.parquet(uri)
         written = spark.read.parquet(uri)
@@ -127,8 +143,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     _, root = longest_rule(F.col("host"), F.lit("/"), rules)
     linked = edges.select(F.col("dst").alias("host")).distinct().join(seen, "host", "left_anti")
     linked = linked.select("host", *[F.coalesce((root == v).cast("int"), F.lit(0)).alias(n) for v, n in (("allow", "good"), ("block", "bad"))])
-    scores = trust_scores(edges, seen.unionByName(linked))
-    blocked = materialize(scores.where(F.col("distrust") - F.col("trust") > margin).select(F.col("host").alias("bad_host")), "blocked-hosts")
+    seeds = materialize(seen.unionByName(linked), "host-seeds")
+    scores = trust_scores(edges, seeds).unionByName(trust_scores(edges, seeds, walks=True))
+    blocked = materialize(scores.where(F.col("distrust") - F.col("trust") > margin).select(F.col("host").alias("bad_host")).distinct(), "blocked-hosts")
     found = ruled.join(blocked, F.col("host") == F.col("bad_host"), "left")
     by_method = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
     return found.select("id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))

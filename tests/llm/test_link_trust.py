@@ -98,6 +98,34 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     assert got == {"spam.org": "block", "farm.org": "block", "good.org": "allow", "fine.org": "allow", "alone.org": "allow"}
 
 
+@pytest.mark.parametrize("size", [3, 10, 3000])
+def test_farms_of_every_size_are_caught(spark, size):
+    rules = (lt.Rule("block", "spam.org", "/"), lt.Rule("allow", "good.org", "/"))
+    link = lambda *to: "".join(f'<a href="http://{t}/">x</a>' for t in to)
+    rows = [(i, f"http://farm{i}.net/", link("spam.org")) for i in range(size)]
+    others = [f"other{i}.net" for i in range(50)]
+    rows += [(-1, "http://spam.org/", ""), (-2, "http://once.net/", link("spam.org", *others) * 3), (-3, "http://good.org/", link("fine.net")), (-4, "http://fine.net/", link("spam.org"))]
+    got = {r["host"]: r["verdict"] for r in lt.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules).collect()}
+    assert {got[f"farm{i}.net"] for i in range(size)} == {"block"}
+    assert got["good.org"] == got["fine.net"] == "allow"
+    assert size < 10 or got["once.net"] == "allow"
+
+
+def test_walks_equal_iteration(spark):
+    edges = [("a", "bad", 1), ("a", "b", 3), ("b", "a", 1), ("good", "a", 1), ("b", "good", 2)]
+    seeds = {"a": (0, 0), "b": (0, 0), "good": (1, 0), "bad": (0, 1)}
+    trust, bad = {h: float(g) for h, (g, _) in seeds.items()}, {h: float(b) for h, (_, b) in seeds.items()}
+    for _ in range(200):
+        out, into = {h: sum(n for s, _, n in edges if s == h) or 1 for h in seeds}, {h: sum(n for _, d, n in edges if d == h) or 1 for h in seeds}
+        trust, bad = (
+            {h: 1.0 if seeds[h][0] else 0.85 * sum(trust[s] * n for s, d, n in edges if d == h) / into[h] for h in seeds},
+            {h: 1.0 if seeds[h][1] else 0.85 * sum(bad[d] * n for s, d, n in edges if s == h) / out[h] for h in seeds},
+        )
+    got = lt.trust_scores(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, good int, bad int"), walks=True)
+    for r in got.collect():
+        assert abs(r["trust"] - trust[r["host"]]) < 1e-4 and abs(r["distrust"] - bad[r["host"]]) < 1e-4
+
+
 def test_longer_host_wins_a_tie(spark):
     rules = (lt.Rule("allow", "org", "/abc/"), lt.Rule("block", "bc.a.org", "/"))
     text, verdict = lt.longest_rule(F.lit("bc.a.org"), F.lit("/abc/x"), rules)
