@@ -11,7 +11,8 @@ of the item's windows and fills the item's slots consistently: each value of the
 item stands for one value of the document.  Values are first judged over all
 windows of the document at once; a pair refused there is judged again by each
 place where the item occurs, as a document may hold an item several times with
-other values, and one consistent occurrence is enough.
+other values, and one consistent occurrence is enough.  A long passage of an item
+is enough too: RUN windows in a row with consistent slots, 15 words or more.
 
 Before the join, documents drop the windows that cannot match by a Bloom filter
 over the benchmark's windows.  The filter has a fixed number of bits, so what is
@@ -41,6 +42,8 @@ COVERAGE = 0.8
 AGREEMENT = 0.8
 LEAST_LITERALS = 3
 BLOOM_BITS = 1 << 23
+#: Windows in a row that make a passage of an item: 15 words.
+RUN = 11
 #: How far the windows of one occurrence may be moved against each other, as a share of the item's windows.
 SLACK = 0.25
 SLOT = b"\x01"
@@ -219,12 +222,41 @@ def consistent_occurrence(text: str | None, item_text: str | None, width: int =
     return best
 
 
-def _judged_again(width: int, coverage: float, agreement: float, least_literals: int):
-    """(row, item, text, item_text) to (row, item, n_slots, slot_agreement, reparameterised) of the pairs with a consistent occurrence."""
+def consistent_run(text: str | None, item_text: str | None, run: int = RUN, width: int = WIDTH, agreement: float = AGREEMENT, least_literals: int = LEAST_LITERALS) -> tuple[int, float, bool] | None:
+    """As consistent_occurrence, for the first passage of ``run`` windows that text and item
+    have in a row.  Windows that don't count don't end a passage if those around them overlap or meet."""
+    item = _item_windows(item_text or "", width, least_literals)
+    counting = sorted({k for k, _, _ in item})
+    before = {b: a for a, b in zip(counting, counting[1:]) if b - a <= width}
+    sought = np.array(sorted({h for _, h, _ in item}), np.int64)
+    by_hash = defaultdict(list)
+    for k, h, filled in item:
+        by_hash[h].append((k, filled))
+    lines: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+    for p, h, filled in placed_windows(text, width, least_literals, lambda hs: np.flatnonzero(np.isin(hs, sought)).tolist()):
+        for k, own in by_hash[h]:
+            lines[p - k][k] += zip(own, filled, strict=True)
+    for _, line in sorted(lines.items()):
+        passage: list[int] = []
+        for k in sorted(line):
+            passage = [*passage[1 - run :], k] if passage and before.get(k) == passage[-1] else [k]
+            if len(passage) >= run:
+                judged = _agreement(Counter(use for j in passage[-run:] for use in line[j]))
+                if judged[1] >= agreement:
+                    return judged
+    return None
+
+
+def _judged_again(width: int, coverage: float, agreement: float, least_literals: int, run_windows: int):
+    """(row, item, text, item_text) to (row, item, n_slots, slot_agreement, reparameterised) of the pairs with a consistent occurrence or passage."""
+
+    def judge(text, item_text):
+        whole = consistent_occurrence(text, item_text, width, coverage, agreement, least_literals)
+        return whole or consistent_run(text, item_text, run_windows, width, agreement, least_literals)
 
     def run(batches):
         for batch in batches:
-            found = [consistent_occurrence(x, y, width, coverage, agreement, least_literals) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [judge(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
             n, share, moved = zip(*filter(None, found), strict=True) if len(at) else ((), (), ())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(moved, pa.bool_())], ["row", "item", "n_slots", "slot_agreement", "reparameterised"])
@@ -237,14 +269,15 @@ def _keyed_texts(df: DataFrame, id_col: str, text_col: str, key: str, name: str)
     return df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("content")).alias(key), text.alias(name))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, agreement: float = AGREEMENT, least_literals: int = LEAST_LITERALS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, agreement: float = AGREEMENT, least_literals: int = LEAST_LITERALS, run: int = RUN) -> DataFrame:
     """Contaminated pairs: (id, content, item, item_windows, matched_windows, coverage, n_slots, slot_agreement, reparameterised).
 
     A document is a pair of id and text, so rows without an id are told apart by
     their text and repeated rows give one result.  Windows with fewer than
     ``least_literals`` tokens that are no placeholders don't count.  Items
     without windows (NULL, empty, all placeholders) contaminate nothing; items
-    of fewer than five tokens only documents of the same tokens.
+    of fewer than five tokens only documents of the same tokens.  Pairs below
+    ``coverage`` are there by a passage of ``run`` windows in a row.
     """
     items = materialize(_explode_windows(benchmark, item_col, item_text_col, width, least_literals, None).distinct(), "benchmark-windows")
     needed = items.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
@@ -253,22 +286,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = materialize(hits.join(sides, "h"), "window-matches")
     counted = met.groupBy("row", "item").agg(F.count_distinct("pos").alias("matched_windows"))
     counted = counted.join(needed.withColumnRenamed("row", "item"), "item").withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
-    pairs = materialize(counted.where(F.col("coverage") >= coverage), "covered-items")
+    pairs = materialize(counted.where((F.col("coverage") >= coverage) | (F.col("matched_windows") >= run)), "covered-items")
     filled = met.join(pairs.select("row", "item"), ["row", "item"]).select("row", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     uses = filled.groupBy("row", "item", F.col("s.item_slots").alias("of"), F.col("s.slots").alias("is")).agg(F.count("*").alias("n"))
     by_value = uses.groupBy("row", "item", "of").agg(F.max("n").alias("best"), F.sum("n").alias("n"), F.max((F.col("of") != F.col("is")).cast("int")).alias("moved"))
     slots = by_value.groupBy("row", "item").agg(F.sum("n").alias("n_slots"), (F.sum("best") / F.sum("n")).alias("slot_agreement"), F.max("moved").alias("moved"))
     found = pairs.join(slots, ["row", "item"], "left").withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "slot_agreement": F.coalesce("slot_agreement", F.lit(1.0)), "reparameterised": F.coalesce(F.col("moved") > 0, F.lit(False))})
     found = materialize(found, "judged-pairs")
-    refused = found.where(F.col("slot_agreement") < agreement)
-    found = found.where(F.col("slot_agreement") >= agreement)
+    clear = (F.col("coverage") >= coverage) & (F.col("slot_agreement") >= agreement)
+    refused, found = found.where(~clear), found.where(clear)
     if not refused.isEmpty():
         refused = materialize(refused.drop("n_slots", "slot_agreement", "reparameterised", "moved"), "refused-pairs")
         texts = refused.select("row", "item").join(_keyed_texts(benchmark, item_col, item_text_col, "item", "item_text").distinct(), "item")
         texts = _keyed_texts(docs, id_col, text_col, "row", "text").join(texts, "row").select("row", "item", "text", "item_text")
         kinds = [texts.schema[c] for c in ("row", "item")]
         schema = T.StructType([*kinds, T.StructField("n_slots", T.LongType()), T.StructField("slot_agreement", T.DoubleType()), T.StructField("reparameterised", T.BooleanType())])
-        again = texts.mapInArrow(_judged_again(width, coverage, agreement, least_literals), schema).distinct()
+        again = texts.mapInArrow(_judged_again(width, coverage, agreement, least_literals, run), schema).distinct()
         found = found.drop("moved").unionByName(refused.join(again, ["row", "item"]))
     return found.select(F.col("row.id").alias("id"), F.col("row.content").alias("content"), F.col("item.id").alias("item"), "item_windows", "matched_windows", "coverage", "n_slots", "slot_agreement", "reparameterised")
 

@@ -79,6 +79,16 @@ def test_an_item_that_repeats_its_windows_with_other_values(spark):
     assert set(got) == {(1, 5)} and not got[1, 5]["reparameterised"]
 
 
+def test_a_long_passage_of_an_item_is_enough(spark):
+    context = " ".join(f"fact{i}x about place{i * 7}y" for i in range(60))
+    question = "Which of the two old towers beside the river was built first and by whose order was it raised?"
+    words = ITEM.split()
+    docs = [(1, FILLER + question + " " + FILLER), (2, FILLER + " ".join(words[8:]) + " " + FILLER), (3, " ".join(words[:9]) + " " + FILLER + " ".join(words[18:26])), (4, FILLER)]
+    got = run(spark, docs, [(7, f"{context} {question}"), (8, ITEM + " " + context)])
+    assert set(got) == {(1, 7), (2, 8)}
+    assert all(r["coverage"] < 0.8 for r in got.values())
+
+
 def test_canonical_tokens():
     tokens, values = t.canonical("On Monday, we saw Anna pay $3.50 for 5km (or 7 miles), 20% more. \x01 Then")
     assert b" ".join(tokens) == b"on \x01p we saw \x01p pay \x01n \x01u for \x01n \x01u or \x01n \x01u \x01n \x01u more then"
