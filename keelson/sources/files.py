@@ -5,9 +5,16 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+#: Stores whose rename is atomic and fails if the target exists.
+ATOMIC_RENAME = ("hdfs", "abfs", "abfss")
+#: Hadoop's option for "create only if absent, as one request".
+CONDITIONAL_PUT = "fs.option.create.conditional.overwrite"
+
+
 class AlreadyThere(Exception):
     """Another writer has created the file."""
 
@@ -42,24 +49,74 @@ class Folder:
         return self.fs.delete(self.path(name), True)
 
     def create_exclusively(self, name: str, text: str) -> None:
-        """The file appears whole by one rename; raises if it is there already."""
+        """The file appears whole and at once; raises AlreadyThere if it is there already.
+
+        How depends on the store, as a check followed by a rename is a race:
+        local disks publish a draft by a hard link, HDFS and ADLS by their atomic
+        rename, object stores by a conditional put.  A store with none of these
+        is refused."""
         target = self.path(name)
         self.fs.mkdirs(target.getParent())
+        # views such as viewfs:// lead to another store, whose ways hold
+        target = self.jvm.org.apache.hadoop.fs.Path(self.fs.resolvePath(target.getParent()), target.getName())
+        scheme = target.toUri().getScheme()
+        if scheme == "file":
+            self._link(target, text)
+        elif scheme in ATOMIC_RENAME:
+            self._rename(target, text)
+        else:
+            self._put(target, text)
+
+    def _draft(self, fs, target, text: str):
         draft = self.jvm.org.apache.hadoop.fs.Path(target.getParent(), f".draft-{uuid.uuid4().hex}")
-        out = self.fs.create(draft, True)
+        out = fs.create(draft, False)
         out.write(bytearray(text, "utf-8"))
+        out.hsync()
         out.close()
+        return draft
+
+    def _link(self, target, text: str) -> None:
+        # below Hadoop's checksum layer: a .crc beside the file would be a second file to race for
+        raw = self.jvm.org.apache.hadoop.fs.FileSystem.getLocal(self.conf).getRawFileSystem()
+        draft = self._draft(raw, target, text)
+        place = self.jvm.java.nio.file.Paths.get
+        try:
+            self.jvm.java.nio.file.Files.createLink(place(target.toUri()), place(draft.toUri()))
+        except Py4JJavaError as error:
+            if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise AlreadyThere(f"{target} exists") from error
+            raise
+        finally:
+            raw.delete(draft, False)
+
+    def _rename(self, target, text: str) -> None:
+        fs = target.getFileSystem(self.conf)
+        draft = self._draft(fs, target, text)
         kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(kinds, 1)
         options[0] = getattr(kinds, "NONE")
         try:
             self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf).rename(draft, target, options)
-        except Exception as error:
-            self.fs.delete(draft, False)
+        except Py4JJavaError as error:
+            fs.delete(draft, False)
             if "FileAlreadyExists" in str(error):
                 raise AlreadyThere(f"{target} exists") from error
             raise
 
+    def _put(self, target, text: str) -> None:
+        fs = target.getFileSystem(self.conf)
+        try:
+            # a store that doesn't know the option refuses to build
+            out = fs.createFile(target).overwrite(False).must(CONDITIONAL_PUT, True).build()
+            out.write(bytearray(text, "utf-8"))
+            out.close()
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error) or "PreconditionFailed" in str(error) or "status code: 412" in str(error).lower():
+                raise AlreadyThere(f"{target} exists") from error
+            if "IllegalArgumentException" in str(error):
+                raise ValueError(f"{target}: this store has no conditional put, so that commits would not be atomic") from error
+            raise
+
     def files(self, name: str) -> list[tuple[str, int]]:
         """(path below this folder, bytes) of all files below ``name``, sorted."""
         at, out = self.path(name), []

@@ -1,9 +1,14 @@
 import datetime
+import os
+import subprocess
+import sys
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.sources.files import Folder
+from keelson.sources.files import AlreadyThere, Folder
 from keelson.sources.store import NoSuchTable, Table
 
 SCHEMA = "k int, v string, at int"
@@ -115,14 +120,65 @@ def test_empty_rows(spark, table):
     assert rows(table.read()) == [(1, "a", 0)]
 
 
-def test_appends_at_once_all_arrive(spark, table):
-    from concurrent.futures import ThreadPoolExecutor
-
-    table.append(spark.createDataFrame([(0, "a", 0)], SCHEMA))
-    with ThreadPoolExecutor(4) as pool:
-        versions = list(pool.map(lambda i: Table(spark, table.uri).append(spark.createDataFrame([(i, "a", 0)], SCHEMA)), range(1, 9)))
-    assert sorted(versions) == list(range(1, 9))
-    assert sorted(r["k"] for r in table.read().collect()) == list(range(9))
+def test_one_winner_for_each_name(spark, tmp_path):
+    """Writers that start at a barrier: exactly one creates the file, and what it wrote is what is there."""
+    folder, writers, rounds = Folder(spark, str(tmp_path / "race")), 4, 250
+    barrier, won = threading.Barrier(writers), [[] for _ in range(rounds)]
+
+    def write(me):
+        mine = Folder(spark, folder.uri)
+        for r in range(rounds):
+            barrier.wait()
+            try:
+                mine.create_json(f"{r}.json", {"by": me})
+                won[r].append(me)
+            except AlreadyThere:
+                pass
+
+    with ThreadPoolExecutor(writers) as pool:
+        list(pool.map(write, range(writers)))
+    assert [len(w) for w in won] == [1] * rounds
+    assert [folder.read_json(f"{r}.json")["by"] for r in range(rounds)] == [w[0] for w in won]
+    assert len(os.listdir(tmp_path / "race")) == rounds, "neither drafts nor checksum files stay"
+
+
+def test_one_winner_among_processes(spark, tmp_path):
+    """Links made by other processes count as well: each name has one winner."""
+    folder, rounds = Folder(spark, str(tmp_path / "race")), 200
+    folder.fs.mkdirs(folder.path())
+    rival = "import os, sys\nwon = 0\nfor r in range(%d):\n    p = f'{sys.argv[1]}/{r}.json'; d = f'{sys.argv[1]}/.rival-{r}'\n    open(d, 'w').write('{\"by\": \"rival\"}')\n    try: os.link(d, p); won += 1\n    except FileExistsError: pass\n    os.remove(d)\nprint(won)" % rounds
+    process = subprocess.Popen([sys.executable, "-c", rival, str(tmp_path / "race")], stdout=subprocess.PIPE, text=True)
+    mine = 0
+    for r in range(rounds - 1, -1, -1):  # the rival comes from the other end, so that they meet
+        try:
+            folder.create_json(f"{r}.json", {"by": "me"})
+            mine += 1
+        except AlreadyThere:
+            pass
+    assert mine + int(process.communicate(timeout=60)[0]) == rounds
+    assert sum(folder.read_json(f"{r}.json")["by"] == "me" for r in range(rounds)) == mine
+
+
+def test_appends_at_once_all_arrive(spark, tmp_path):
+    barrier = threading.Barrier(4)
+    for n in range(5):
+        table = Table(spark, str(tmp_path / f"t{n}"))
+
+        def write(me, uri=table.uri):
+            barrier.wait()
+            return [Table(spark, uri).append(spark.createDataFrame([(10 * me + i, "a", 0)], SCHEMA)) for i in range(2)]
+
+        with ThreadPoolExecutor(4) as pool:
+            versions = [v for vs in pool.map(write, range(4)) for v in vs]
+        assert sorted(versions) == list(range(8))
+        assert sorted(r["k"] for r in table.read().collect()) == sorted(10 * me + i for me in range(4) for i in range(2))
+
+
+def test_a_store_without_atomic_creation_is_refused(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "put"))
+    with pytest.raises(Exception, match="conditional|Unrecognized|not supported"):
+        folder._put(folder.path("x.json"), "{}")
+    assert not folder.exists("x.json")
 
 
 def test_many_files_are_counted_by_a_job(spark, table, monkeypatch):
