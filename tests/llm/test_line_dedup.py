@@ -16,10 +16,10 @@ def brute(rows, min_chars=40, min_docs=5):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACE))
     holders = defaultdict(set)
     owner = {}
-    for n, (i, text) in enumerate(rows):
+    for i, text in rows:
         for line in (text or "").split("\n"):
             if len(k := key(line)) >= min_chars:
-                holders[k].add(n)
+                holders[k].add(i)
                 owner[k] = max(owner.get(k, -(1 << 63)), -(1 << 63) if i is None else i)
     out = []
     for i, text in rows:
@@ -50,6 +50,8 @@ LONG = "The quick brown fox jumps over the lazy dog again"
         [(None, LONG)] * 3 + [(1, LONG)] * 3,
         [(None, LONG)] * 6,
         [(7, LONG)] * 6,
+        [(1, LONG)] * 4 + [(2, LONG)],
+        [(i, LONG) for i in (1, 2, 3, 4, None)] + [(4, LONG)],
         [(i, "é" * 39 + "\n" + "É" * 40 + "\n" + "ü" * 40) for i in range(6)],
         [(i, LONG + "\xa0\n" + LONG + "\n" + "z" * 200_000) for i in range(6)],
     ],
@@ -88,8 +90,22 @@ def test_index_evicts_shards(spark):
     uri, n = line_dedup.build_index(df, "doc_id", "text", 40, 5)
     index = line_dedup.Index(uri, n, limit=1)
     pairs = np.array([line_dedup.hashes(f"line number {k} is shared by all the documents here".encode()) for k in range(50)], np.uint64)
-    indexed, owner = index.owners(pairs[:, 0].copy(), pairs[:, 1].copy())
-    assert indexed.all() and (owner == 5).all() and len(index.held) == 1
+    docs, owner = index.lookup(pairs[:, 0].copy(), pairs[:, 1].copy())
+    assert (docs == 6).all() and (owner == 5).all() and len(index.held) == 1
+
+
+def test_counts_decide_and_one_index_serves_several_limits(spark):
+    rows = [(d, "\n".join(f"line number {k} is held by the first {k} of the documents" for k in range(d + 1, 9))) for d in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    uri, n = line_dedup.build_index(df, "doc_id", "text", 40)
+    index = line_dedup.Index(uri, n)
+    pairs = np.array([line_dedup.hashes(f"line number {k} is held by the first {k} of the documents".encode()) for k in range(9)], np.uint64)
+    docs, _ = index.lookup(pairs[:, 0].copy(), pairs[:, 1].copy())
+    assert docs.tolist() == [0, 0, 2, 3, 4, 5, 6, 7, 8]
+    for limit in (2, 4, 8):
+        assert run(spark, rows, min_docs=limit) == brute(rows, min_docs=limit)
+    with pytest.raises(ValueError, match="never dropped"):
+        line_dedup.dedup_lines(df, ["doc_id"], min_docs=1)
 
 
 def test_query_equals_sql(spark, sf_dir):
