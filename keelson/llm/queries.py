@@ -125,7 +125,7 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 

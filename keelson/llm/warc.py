@@ -31,7 +31,6 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 FILE_BYTES = 1 << 30
 BLOCK = 1 << 16
-HEADER_LIMIT = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:keelson:page:"
@@ -98,15 +97,20 @@ def _write(uri: str):
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """(id, url, payload, sha1, refers_to, revisit): of equal payloads of ``least_bytes``
-    or more, the rows with the smallest id are responses, the others revisit them."""
+    or more, the rows with the smallest id are responses, the others revisit them.
+
+    What revisits what is decided on ids and digests alone; payloads meet it by id,
+    so that a payload which a third of all pages share is no hot key."""
     payload = F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    seen = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    narrow = materialize(rows.where(F.length("payload") >= least_bytes).select("id", "sha1"), "payload-digests")
+    seen = narrow.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     repeated = materialize(seen.where("n > 1").select(F.col("sha1").alias("same"), "first"), "repeated-payloads")
-    found = rows.join(repeated, F.col("sha1") == F.col("same"), "left")
-    revisit = F.col("same").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return found.select("id", "url", "payload", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    later = narrow.join(repeated, F.col("sha1") == F.col("same")).where(~F.col("id").eqNullSafe(F.col("first")))
+    later = materialize(later.select(F.col("id").alias("later"), "same", "first").distinct(), "revisits")
+    found = rows.join(later, F.col("id").eqNullSafe(F.col("later")) & (F.col("sha1") == F.col("same")), "left")
+    return found.select("id", "url", "payload", "sha1", F.col("first").alias("refers_to"), F.col("same").isNotNull().alias("revisit"))
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, **columns) -> tuple[str, DataFrame]:
@@ -155,40 +159,33 @@ def _fields(head: bytes) -> dict[bytes, bytes] | None:
 def inflate(window: Window, at: int, head_only: bool = False) -> tuple[dict[bytes, bytes], bytes, int] | None:
     """(fields, block, offset after the member) of the record whose member starts at
     ``at``; None if no valid record does.  ``head_only``: as soon as the header is whole."""
-    unpacker, out, pos, fields, head_end = zlib.decompressobj(31), [], at, None, 0
-    held = 0
+    unpacker, data, pos, fields, head_end = zlib.decompressobj(31), bytearray(), at, None, 0
     try:
         while not unpacker.eof:
             chunk = window.read(pos)
             if not chunk:
                 return None
             pos += len(chunk)
-            got = unpacker.decompress(chunk)
-            out.append(got)
-            held += len(got)
+            known = len(data)
+            data += unpacker.decompress(chunk)
             if fields is None:
-                data = b"".join(out)
-                out = [data]
                 if not b"WARC/1.".startswith(data[:7]):
                     return None
-                head_end = data.find(b"\r\n\r\n")
+                head_end = data.find(b"\r\n\r\n", max(0, known - 3))
                 if head_end >= 0:
-                    fields = _fields(data[:head_end])
+                    fields = _fields(bytes(data[:head_end]))
                     if fields is None:
                         return None
                     if head_only:
                         return fields, b"", 0
-                elif held > HEADER_LIMIT:
-                    return None
     except zlib.error:
         return None
     if fields is None:
         return None
-    data = b"".join(out)
-    block, length = data[head_end + 4 :], int(fields[b"content-length"])
-    if len(block) != length + 4 or not block.endswith(b"\r\n\r\n"):
+    length = int(fields[b"content-length"])
+    if len(data) != head_end + 4 + length + 4 or not data.endswith(b"\r\n\r\n"):
         return None
-    return fields, block[:length], pos - len(unpacker.unused_data)
+    return fields, bytes(data[head_end + 4 : head_end + 4 + length]), pos - len(unpacker.unused_data)
 
 
 def find_start(window: Window, at: int, end: int) -> int | None:
@@ -215,17 +212,32 @@ def find_start(window: Window, at: int, end: int) -> int | None:
     return None
 
 
-def records(handle, size: int, start: int, end: int) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
-    """(offset, fields, block) of the records that start in [start, end)."""
+class Damaged(ValueError):
+    """Where a record must start, no valid one does."""
+
+
+def records(handle, size: int, start: int, end: int, skip_damaged: bool = False) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """(offset, fields, block) of the records that start in [start, end).
+
+    Where a record ends another must start, also one of the next range: if none
+    does, Damaged is raised, or the next start is looked for.  Damage that a range
+    border hides (the record before it is the first of its range, and is taken for
+    one inside a payload) shows in the number of records."""
     window = Window(handle, size)
     at = find_start(window, start, end)
+    if start == 0 and min(end, size) > 0 and at != 0 and not skip_damaged:
+        raise Damaged("no record at 0")
     while at is not None and at < end:
         found = inflate(window, at)
-        if found is None:  # damaged: look for the next start
+        if found is None:
+            if not skip_damaged:
+                raise Damaged(f"no record at {at}")
             at = find_start(window, at + 1, end)
             continue
         yield at, found[0], found[1]
         at = found[2]
+        if end <= at < size and not skip_damaged and inflate(window, at, head_only=True) is None:
+            raise Damaged(f"no record at {at}")
 
 
 def _number(value: bytes | None) -> int | None:
@@ -233,7 +245,7 @@ def _number(value: bytes | None) -> int | None:
     return int(tail) if re.fullmatch(rb"-?\d+", tail) else None
 
 
-def _read(uri: str):
+def _read(uri: str, with_payload: bool, skip_damaged: bool):
     names = ["file", "offset", "id", "url", "type", "refers_to", "digest", "payload_bytes", "payload"]
 
     def row(name, offset, fields, block):
@@ -245,7 +257,7 @@ def _read(uri: str):
         if not revisit and digest != base32_sha1(body):
             raise ValueError(f"{name} at {offset}: the payload doesn't match its digest")
         url = fields.get(b"warc-target-uri")
-        return (name, offset, _number(fields[b"warc-record-id"]), url and url.decode("utf-8", "replace"), fields[b"warc-type"].decode(), _number(fields.get(b"warc-refers-to")) if revisit else None, digest, n_bytes, None if revisit else body)
+        return (name, offset, _number(fields[b"warc-record-id"]), url and url.decode("utf-8", "replace"), fields[b"warc-type"].decode(), _number(fields.get(b"warc-refers-to")) if revisit else None, digest, n_bytes, None if revisit or not with_payload else body)
 
     def pack(rows):
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -260,7 +272,7 @@ def _read(uri: str):
                 fs = fs or pafs.FileSystem.from_uri(uri)[0]
                 rows, held = [], 0
                 with fs.open_input_file(file) as handle:
-                    for offset, fields, block in records(handle, size, start, min(size, start + RANGE_BYTES)):
+                    for offset, fields, block in records(handle, size, start, min(size, start + RANGE_BYTES), skip_damaged):
                         if fields[b"warc-type"] in (b"response", b"revisit"):
                             rows.append(row(file, offset, fields, block))
                             held += len(block)
@@ -276,23 +288,35 @@ def _read(uri: str):
 SCHEMA = "file string, offset long, id long, url string, type string, refers_to long, digest string, payload_bytes long, payload binary"
 
 
-def read_archives(spark: SparkSession, uri: str, files: DataFrame) -> DataFrame:
-    """A row for each response and revisit record of ``files`` (file, bytes), by byte ranges."""
+def read_archives(spark: SparkSession, uri: str, files: DataFrame, with_payload: bool = True, skip_damaged: bool = False) -> DataFrame:
+    """A row for each response and revisit record of ``files`` (file, bytes), by byte ranges.
+
+    Without ``with_payload`` payload is NULL.  Damage raises, or with ``skip_damaged``
+    loses the damaged records alone."""
     ranges = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("start"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(tasks).mapInArrow(_read(uri), SCHEMA)
+    return ranges.repartition(tasks).mapInArrow(_read(uri, with_payload, skip_damaged), SCHEMA)
 
 
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
+def round_trip(pages: DataFrame, with_payload: bool = True, **columns) -> DataFrame:
     """Archive ``pages`` and read them back: a row for each row of ``pages``.
 
-    NULL and empty html are empty payloads, equal to each other.  Rows with one id
-    and one payload are repeated rows: all those with the smallest id are
-    responses.  A NULL id is smaller than none: such a row is a response only if no
-    other row has its payload.  A NULL url leaves the header out.  An empty table
-    gives an empty result."""
+    NULL and empty html are empty payloads, equal to each other; payloads and urls
+    of any length come back whole.  Rows with one id and one payload are repeated
+    rows: all those with the smallest id are responses.  A NULL id is smaller than
+    none: such a row is a response only if no other row has its payload.  A NULL url
+    leaves the header out.  An empty table gives an empty result.  Other columns,
+    whatever their names, are not read.
+
+    What was read is written once and counted against what the writer put into each
+    file; a difference raises."""
     uri, files = write_archives(pages, **columns)
-    return read_archives(pages.sparkSession, uri, files)
+    found = materialize(read_archives(pages.sparkSession, uri, files, with_payload), "warc-records")
+    counted = found.groupBy("file").agg(F.count("*").alias("n")).withColumnRenamed("file", "of")
+    wrong = files.join(counted, F.col("file") == F.col("of"), "left").where(F.coalesce("n", F.lit(0)) != F.col("records")).first()
+    if wrong is not None:
+        raise Damaged(f"{wrong['file']}: {wrong['records']} records written, {wrong['n'] or 0} read")
+    return found
 
 
 def resolve(found: DataFrame) -> DataFrame:

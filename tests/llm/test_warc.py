@@ -20,8 +20,8 @@ def archive(rng, n, nasty=True):
     return data, known
 
 
-def read(data, start, end):
-    return [(at, warc._number(f[b"warc-record-id"]), block.partition(b"\r\n\r\n")[2]) for at, f, block in warc.records(io.BytesIO(data), len(data), start, end)]
+def read(data, start, end, **options):
+    return [(at, warc._number(f[b"warc-record-id"]), block.partition(b"\r\n\r\n")[2]) for at, f, block in warc.records(io.BytesIO(data), len(data), start, end, **options)]
 
 
 @pytest.mark.parametrize("step", [1000, 4097, 10**9])
@@ -56,8 +56,14 @@ def test_damage_costs_one_record():
     bad = bytearray(data)
     spot = known[10][0] + 40
     bad[spot : spot + 4] = b"\xff\xff\xff\xff"
-    found = [i for _, i, _ in read(bytes(bad), 0, len(bad))]
+    found = [i for _, i, _ in read(bytes(bad), 0, len(bad), skip_damaged=True)]
     assert 10 not in found and len(found) == 29
+    with pytest.raises(warc.Damaged):
+        read(bytes(bad), 0, len(bad))
+    with pytest.raises(warc.Damaged):
+        read(bytes(bad), 0, known[10][0])
+    with pytest.raises(warc.Damaged, match="at 0"):
+        read(b"x" + data, 0, len(data))
 
 
 def test_records_longer_than_blocks_and_ranges():
@@ -90,6 +96,8 @@ def brute(rows):
         [(1, "http://a", None), (2, None, ""), (3, "http://c\r\nX: y", "é€\r\n\r\n")],
         [(i, f"http://h/{i}", "same") for i in (5, 3, 9)] + [(3, "http://h/3", "same")],
         [(None, "u", "x"), (None, "u", "x"), (4, "u", "x"), (None, "u", "alone")],
+        [(1, "http://a", "x"), (2, "http://b/" + "long" * 750_000, "y"), (3, "http://c", "z")],
+        [(i, "u", "") for i in range(30)] + [(None, "u", "")],
         [(i, "u", "big " * 90_000 if i % 4 == 0 else f"page {i}") for i in range(40)],
     ],
 )
@@ -103,5 +111,13 @@ def test_round_trip(spark, rows, monkeypatch):
     assert whole == {(i, (h or "").encode()) for i, _, h in rows}
 
 
+def test_records_lost_on_the_way_are_reported(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string")
+    whole = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: whole(*a, **k).where("id <> 4"))
+    with pytest.raises(warc.Damaged, match="written"):
+        warc.round_trip(df)
+
+
 def test_query_equals_sql(spark, sf_dir):
     assert_same(queries.op8_warc_roundtrip(spark, sf_dir), queries.ORACLE_SQL["op8_warc_roundtrip"], sf_dir)
