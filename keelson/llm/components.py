@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.scratch import drop_dir, new_dir
+from keelson.llm.scratch import drop_dir, materialize, new_dir
 
 MAX_ROUNDS = 100
+#: A node with more than so many-th of all edge ends is a hub.
+HUB_SHARE = 256
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")
 
 
+def _with_least(rows: DataFrame, least: Column) -> DataFrame:
+    """``rows`` (src, …) with ``least`` of all rows of their src.
+
+    A node with more than a HUB_SHAREth of all rows is a hub; there are fewer than
+    HUB_SHARE of them, so theirs are broadcast and their rows stay where they are.
+    Of the other nodes none makes a partition large."""
+    known = materialize(rows.groupBy("src").agg(least.alias("least"), F.count("*").alias("degree")), "components-least")
+    total = known.agg(F.sum("degree")).first()[0] or 0
+    hub = F.col("degree") * HUB_SHARE > F.lit(total)
+    hubs = F.broadcast(known.where(hub).select("src", F.col("least").alias("of_hub")))
+    marked = rows.join(hubs, "src", "left")
+    at_hubs = marked.where("of_hub is not null").withColumnRenamed("of_hub", "least")
+    others = marked.where("of_hub is null").drop("of_hub").join(known.where(~hub).drop("degree"), "src")
+    return at_hubs.unionByName(others)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
-    near = _both_ways(edges)
-    least = near.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-    return near.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    near = _with_least(_both_ways(edges), F.least(F.min("dst"), F.min("src")))
+    return near.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("least"))
-    moved = down.join(least, "src")
+    moved = _with_least(down, F.min("dst"))
     pairs = F.array(F.struct(F.col("dst").alias("src"), F.col("least").alias("dst")), F.struct(F.col("src").alias("src"), F.col("least").alias("dst")))
     return moved.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").where("src <> dst").distinct()
 
@@ -41,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now, before, last = edges.where("src <> dst").select("src", "dst"), None, None
     for _ in range(MAX_ROUNDS):
         uri = new_dir(spark, "components-round")
-        _small_star(_large_star(now)).write.parquet(uri)
+        _small_star(materialize(_large_star(now), "components-large")).write.parquet(uri)
         now = spark.read.schema(edges.select("src", "dst").schema).parquet(uri)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
         if before is not None:

@@ -1,17 +1,22 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
 A 64-bit fingerprint is cut into segments of three bits (the last has one) and
-embedded as the vector of their bit counts.  Flipping a bit moves one coordinate by one, so the
-Manhattan distance of two vectors never exceeds the Hamming distance of the
-fingerprints.  All pairs within Manhattan distance 2 are met on an integer grid:
-every point visits the cells at distance 0 and 1 of itself, and two points at
-distance 2 or less always visit a common cell.
-
-Exact verification uses the same join at the finest resolution, one bit to a
-segment, where the embedding is the fingerprint itself: two fingerprints share a
-cell there if and only if they differ in at most two bits.  Such a cell can hold
-65 fingerprints at most, so a link costs one row for each fingerprint and cell,
-never one for each pair, however many near copies a group has.
+embedded as the vector of their bit counts.  Flipping a bit moves one coordinate
+by one, so the Manhattan distance of two vectors never exceeds the Hamming
+distance of the fingerprints.  All pairs within Manhattan distance 2 meet on an
+integer grid: every point visits the cells at distance 0 and 1 of itself, and two
+points at distance 2 or less always visit a common cell.
+
+One aggregate over the visits finds the cells that several fingerprints visit.
+A cell of two is a candidate pair by itself; for the others, few, the visitors
+are fetched by the vectors around the cell.  Candidate pairs are then verified by
+their exact Hamming distance.
+
+A cell of more than PAIRS_CELL visitors is split instead of paired: its visitors
+go to the same grid at one bit to a segment, where the embedding is the
+fingerprint itself, a cell has 65 visitors at most, and any two of them differ in
+two bits or fewer.  So a group of near copies of any size costs rows in
+proportion to its fingerprints, never to their pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ BITS = 64
 SEGMENT_BITS = 3
 SEGMENTS = -(-BITS // SEGMENT_BITS)
 CHUNK = 65536
+RADIUS = 2
+#: Cells of more visitors are split at one bit to a segment.
+PAIRS_CELL = 64
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -79,17 +87,28 @@ def _segment_counts(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit(mask))).cast("long") for i in range(SEGMENTS)]
 
 
-def popcount_cells(distinct: DataFrame) -> DataFrame:
-    """(fp, cell): the grid cells within Manhattan distance 1 of the embedded fingerprint.
+#: What a visit to a cell at distance 1 adds to the vector's number: a step along a coordinate.
+STEPS = [(SEGMENT_BITS + 3) ** i for i in range(SEGMENTS)]
+
+
+def embedded(distinct: DataFrame) -> DataFrame:
+    """(fp, home): the number of the fingerprint's vector.
 
     A coordinate is 0 to 3 and a neighbour's -1 to 4; shifted by one and written in
-    base 6 the 22 coordinates fit a long, so a cell has an exact id."""
-    steps = [(SEGMENT_BITS + 3) ** i for i in range(SEGMENTS)]
+    base 6 the 22 coordinates fit a long.  A step off a visited cell that leaves -1
+    to 4 carries into the next digit and leaves 0 or 5 behind, which no vector has."""
     counts = _segment_counts(F.col("fp"))
-    home = sum(((c + F.lit(1)) * F.lit(s) for c, s in zip(counts, steps, strict=True)), F.lit(0).cast("long"))
-    moves = F.array(*[F.lit(m).cast("long") for m in [0, *steps, *(-s for s in steps)]])
-    based = distinct.select("fp", home.alias("home"), moves.alias("moves"))
-    return based.select("fp", "home", F.explode("moves").alias("move")).select("fp", (F.col("home") + F.col("move")).alias("cell"))
+    home = sum(((c + F.lit(1)) * F.lit(x) for c, x in zip(counts, STEPS, strict=True)), F.lit(0).cast("long"))
+    return distinct.select("fp", home.alias("home"))
+
+
+def _moves() -> Column:
+    return F.array(*[F.lit(m).cast("long") for m in (0, *STEPS, *(-x for x in STEPS))])
+
+
+def visits(homes: DataFrame) -> DataFrame:
+    """(fp, cell): the grid cells within Manhattan distance 1 of each vector."""
+    return homes.select("fp", "home", F.explode(_moves()).alias("move")).select("fp", (F.col("home") + F.col("move")).alias("cell"))
 
 
 def bit_cells(fps: DataFrame) -> DataFrame:
@@ -98,17 +117,27 @@ def bit_cells(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("cell"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (src, dst) whose components are those of all links at two or fewer bits.
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
-    ``distinct``: one row for each fingerprint (column fp)."""
-    cells = popcount_cells(distinct)
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    near = cells.join(shared, "cell", "left_semi").select("fp").distinct()
-    members = bit_cells(near).groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    # a cell at this resolution holds at most 65 fingerprints
-    starred = members.select(F.array_min("fps").alias("dst"), F.explode("fps").alias("src")).where("src <> dst")
-    return starred.select("src", "dst").distinct()
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (src, dst) whose components are those of all links at RADIUS or fewer bits.
+
+    ``distinct``: one row for each fingerprint (column fp).  Between fingerprints
+    that meet in no split cell every link is an edge."""
+    homes = embedded(distinct)
+    met = visits(homes).groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1")
+    met = materialize(met, "simhash-cells")
+    twos = met.where("n = 2").select("src", "dst").where(hamming(F.col("src"), F.col("dst")) <= RADIUS)
+    around = met.where("n > 2").select("cell", "n", F.explode(_moves()).alias("move")).withColumn("at", F.col("cell") - F.col("move"))
+    crowd = materialize(around.join(homes, F.col("at") == F.col("home")).select("cell", "n", "fp", "move"), "simhash-crowds")
+    left, right = (crowd.where(F.col("n") <= PAIRS_CELL).select("cell", F.col("fp").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
+    # visitors with one vector share all their cells: their pair counts at home alone
+    pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst").where(hamming(F.col("src"), F.col("dst")) <= RADIUS)
+    split = bit_cells(crowd.where(F.col("n") > PAIRS_CELL).select("fp").distinct()).groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    starred = split.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst")).where("src <> dst")
+    return twos.unionByName(pairs).unionByName(starred).distinct()
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -147,13 +176,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     each = grouped(docs, id_col, text_col, width).groupBy("root", "id", "content").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "rows")).alias("head")
     heads = materialize(each.groupBy("root").agg(first).select(F.col("head.id").alias("__head"), F.col("head.content").alias("__content"), F.col("head.rows").alias("__rows")), "simhash-heads")
-    same_text = content_of(docs[text_col]) == F.col("__content")
+    heads, named = heads.alias("head"), docs.alias("doc")
+    mine = lambda c: F.col(f"doc.`{c}`")
+    same_text = content_of(mine(text_col)) == F.col("head.__content")
     unique = heads.where("__head IS NOT NULL AND __rows = 1")
     # one plan at every size: heads are about as many as documents, never small enough to broadcast
-    kept = docs.join(unique.hint("merge"), (docs[id_col] == F.col("__head")) & same_text, "left_semi")
+    kept = named.join(unique.hint("merge"), (mine(id_col) == F.col("head.__head")) & same_text, "left_semi")
     others = heads.where("__head IS NULL OR __rows > 1")
     if others.isEmpty():
         return kept
     # repeated rows and rows without an id: few, so that a second look at the table is cheaper than sorting it
-    again = docs.join(others, docs[id_col].eqNullSafe(F.col("__head")) & same_text, "left_semi")
+    again = named.join(others, mine(id_col).eqNullSafe(F.col("head.__head")) & same_text, "left_semi")
     return kept.unionByName(again.dropDuplicates([id_col, text_col]))

@@ -97,6 +97,44 @@ def test_links_equal_brute_force_on_clustered_fingerprints(spark):
     assert {s: labels.get(s, s) for s in signed.values()} == brute
 
 
+def clusters(rng, sizes, flips):
+    fps = set()
+    for n in sizes:
+        c = rng.getrandbits(64)
+        for _ in range(n):
+            x = c
+            for _ in range(rng.randrange(flips)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    return sorted(x - (1 << 64) if x >= 1 << 63 else x for x in fps)
+
+
+@pytest.mark.parametrize("limit", [64, 4, 2])
+def test_edges_are_links_and_every_link_is_joined(spark, monkeypatch, limit):
+    """Between cells that aren't split the edges are all the links; else they have the same components."""
+    monkeypatch.setattr(simhash, "PAIRS_CELL", limit)
+    fps = clusters(random.Random(limit), [2] * 20 + [3] * 10 + [12] * 3 + ([150] if limit == 64 else [40]), 4)
+    want = {(a, b) for n, a in enumerate(fps) for b in fps[:n] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    got = {tuple(sorted((r["src"], r["dst"]), reverse=True)) for r in edges.collect()}
+    assert got <= want
+    small = clusters(random.Random(limit), [2] * 20 + [3] * 10, 4)
+    if limit == 64:
+        assert {e for e in want if set(e) <= set(small)} <= got
+    labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
+    assert {x: labels.get(x, x) for x in fps} == brute_components({x: x & (1 << 64) - 1 for x in fps})
+
+
+def test_a_large_star_stays_spread(spark):
+    """The rows of a hub are joined where they are, in as many tasks as they came in."""
+    star = spark.range(1, 100_001, numPartitions=8).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    near = components._with_least(components._both_ways(star), F.min("dst"))
+    sizes = [r["n"] for r in near.where("src = 0").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 100_000 and max(sizes) <= 13_000
+    labels = components.connected_components(star)
+    assert labels.where("label <> 0").count() == 0 and labels.count() == 100_001
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 1)], [(2, 1), (1, 2), (3, 2), (9, 8)]])
 def test_components_of_small_graphs(spark, rows):
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
@@ -105,10 +143,10 @@ def test_components_of_small_graphs(spark, rows):
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (None, "q r s", 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component int").withColumns({"fp": F.lit(1), "id": F.lit(2), "__rows": F.lit(3)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int").withColumns({"fp": F.lit(1), "id": F.lit(2), "__rows": F.lit(3), "__head": F.lit(4), "__content": F.lit("x")})
     got = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None)], key=repr)
-    kept = simhash.keep_one(df.drop("__rows")).collect()
+    kept = simhash.keep_one(df).collect()
     assert sorted((r["doc_id"] is None, r["text"]) for r in kept) == [(False, "a b c d"), (True, "q r s")]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
