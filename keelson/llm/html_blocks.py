@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(
@@ -53,15 +54,19 @@ CLOSED_BY = {
     "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
     "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
 }
-MAX_DEPTH = 150
+#: Deeper elements become siblings at this depth; they keep their names and what holds them.
+TREE_DEPTH = 150
 TEXT = "#"
+#: What an element is by its tag, role or style, or only by the words of its class and id.
+BY_NAME, BY_KIND = 1, 2
+HIDDEN = "!"
 
 
 @dataclass
 class Node:
     sig: str
     tag: str = ""
-    furniture: bool = False
+    furniture: int = 0
     children: list[Node] = field(default_factory=list)
     text: str = ""
     link_chars: int = 0
@@ -88,34 +93,49 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTR.finditer(raw)} if raw.strip("/ \t\n\r") else {}
 
 
-def is_furniture(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+def _by_attributes(attrs: dict[str, str]) -> bool:
+    """Hidden, or of a role that is never article."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE):
         return True
-    if attrs.get("role", "").lower() in FURNITURE_ROLES:
-        return True
+    return attrs.get("role", "").lower() in FURNITURE_ROLES
+
+
+def furniture_of(tag: str, attrs: dict[str, str]) -> int:
+    """BY_KIND, BY_NAME or 0."""
+    if tag in FURNITURE_TAGS:
+        return BY_KIND
+    if not attrs or tag in ("html", "body"):
+        return 0
+    if _by_attributes(attrs):
+        return BY_KIND
     kinds = {_kind(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
     if "comment" in kinds:
-        return "content" not in kinds
-    return "furniture" in kinds and "content" not in kinds and tag not in ROOT_TAGS
+        return 0 if "content" in kinds else BY_NAME
+    return BY_NAME if "furniture" in kinds and "content" not in kinds and tag not in ROOT_TAGS else 0
+
+
+def is_furniture(tag: str, attrs: dict[str, str]) -> bool:
+    return furniture_of(tag, attrs) > 0
 
 
 def signature(tag: str, attrs: dict[str, str]) -> str:
-    """The tag with its class and id, digits removed: what must agree for two elements to be aligned."""
+    """The tag with its class and id, digits removed, and a mark if it is hidden: what
+    must agree for two elements to be aligned."""
     label = tag
     for name, mark in (("class", "."), ("id", "#")):
         if value := re.sub(r"\d+", "", attrs.get(name, "")):
             label += "".join(mark + w for w in sorted(set(value.split())))
-    return label
+    return label + HIDDEN if attrs and _by_attributes(attrs) else label
 
 
 def parse(page: str | None) -> Node:
-    """The tree of a page below a root node."""
+    """The tree of a page below a root node.
+
+    An element below TREE_DEPTH is a child of its ancestor there: furniture if any
+    element between is, and named by the article element between, if there is one."""
     root = Node("", "")
-    stack = [root]
+    stack: list[tuple[Node, str]] = [(root, "")]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links = [0, 0]  # open anchors, characters inside anchors
     page = page or ""
@@ -124,7 +144,7 @@ def parse(page: str | None) -> Node:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                stack[-1].children.append(Node(TEXT, text=joined, link_chars=min(links[1], len(joined))))
+                stack[-1][0].children.append(Node(TEXT, text=joined, link_chars=min(links[1], len(joined))))
             text.clear()
         links[1] = 0
 
@@ -134,9 +154,24 @@ def parse(page: str | None) -> Node:
             links[1] += len(piece.strip())
 
     def pop_to(k: int) -> None:
-        flush()
+        for _, gone in stack[k:]:
+            opened[gone] -= 1
         del stack[k:]
 
+    def push(tag: str, attrs: dict[str, str], furniture: int) -> None:
+        node = Node(signature(tag, attrs), tag, furniture)
+        if len(stack) < TREE_DEPTH:
+            stack[-1][0].children.append(node)
+        else:
+            above = stack[-1][0]
+            if len(stack) > TREE_DEPTH:
+                node.furniture = max(furniture, above.furniture)
+                if above.tag in ROOT_TAGS:
+                    node.tag, node.sig = above.tag, f"{above.tag}.{node.sig}" if not node.sig.startswith(above.tag) else node.sig
+            stack[TREE_DEPTH - 1][0].children.append(node)
+        stack.append((node, tag))
+        opened[tag] += 1
+
     pos, n = 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
@@ -152,12 +187,12 @@ def parse(page: str | None) -> Node:
         if m["end"] or m["end2"]:
             if tag == "a":
                 links[0] = max(0, links[0] - 1)
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                pop_to(k)
+            if opened[tag] > 0:
+                flush()
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag))
             continue
         attrs = _attributes(m["attrs"] or "")
-        furniture = is_furniture(tag, attrs)
+        furniture = furniture_of(tag, attrs)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
             pos = close.end() if close else n
@@ -173,33 +208,31 @@ def parse(page: str | None) -> Node:
         if tag in VOID:
             continue
         if tag not in INLINE:
-            if stack[-1].tag == "p":
-                stack.pop()
+            if stack[-1][1] == "p":
+                pop_to(len(stack) - 1)
             if tag in CLOSED_BY:
                 closing, fence = CLOSED_BY[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in fence:
-                        break
-                    if stack[k].tag in closing:
-                        del stack[k:]
-                        break
+                if any(opened[x] > 0 for x in closing):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][1] in fence:
+                            break
+                        if stack[k][1] in closing:
+                            pop_to(k)
+                            break
         if (m["attrs"] or "")[-1:] == "/":
             continue
-        if len(stack) < MAX_DEPTH:
-            node = Node(signature(tag, attrs), tag, furniture)
-            stack[-1].children.append(node)
-            stack.append(node)
+        push(tag, attrs, furniture)
     flush()
     return root
 
 
 def blocks(root: Node):
-    """(path, tags, furniture, text node) of each text node in page order; path is a tuple of signatures."""
-    todo = [(root, (), (), False)]
+    """(path, text node) of each text node in page order; path is a tuple of signatures."""
+    todo = [(root, ())]
     while todo:
-        node, path, tags, furniture = todo.pop()
+        node, path = todo.pop()
         if node.sig == TEXT:
-            yield path, tags, furniture, node
+            yield path, node
             continue
-        below = (path + (node.sig,), tags + (node.tag,)) if node.sig else (path, tags)
-        todo += [(c, *below, furniture or node.furniture) for c in reversed(node.children)]
+        below = (*path, node.sig) if node.sig else path
+        todo += [(c, below) for c in reversed(node.children)]
