@@ -1,13 +1,24 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document
 that loses too much of its text is rejected.
 
+A line fails by its
+
+* punctuation: words of marks alone, words with symbols, shouting, stutter, or a
+  short line that trails off in an ellipsis;
+* navigation: separators between its words, or a run of short lines that end
+  without any mark, as a menu with an item a line is;
+* boilerplate: a short line that holds a notice's phrase, sign, address or braces,
+  or that the text repeats again and again.
+
 Defined cases: a NULL or empty text has one empty line and no words and fails the
-base rules; blank lines are never judged and stay; repeated rows are judged alike
-and stay repeated; an empty table gives an empty result.  Texts are read whole.
+base rules; blank lines are never judged, stay, and don't end a run; repeated rows
+are judged alike and stay repeated; an empty table gives an empty result; columns
+may have any names.  Texts are read whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +33,14 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_BYTES = SYMBOLS.encode()
 #: Tokens that separate the items of a menu or a breadcrumb.
 SEPARATORS = frozenset(x.encode() for x in ("|", ">", "»", "·", "•", "/", "::"))
-#: Lines that hold one of these and few other words are page furniture.
-BOILERPLATE = tuple(
+#: What ends a line that says something.  Commas and colons count: verse and lists go on.
+END_MARKS = tuple(x.encode() for x in (".", "!", "?", ",", ";", ":", ")", "]", '"', "'", "…", "”", "’", "»", "。", "！", "？"))
+ELLIPSES = (b"...", "…".encode())
+ASCII_MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
+#: Signs of page furniture in any language.
+NOTICE_SIGNS = tuple(x.encode() for x in ("©", "®", "™", "{", "}", "http://", "https://", "www."))
+#: Short lines that hold one of these are page furniture (fixed values: English, German, French, Spanish).
+NOTICE_PHRASES = tuple(
     x.encode()
     for x in (
         "all rights reserved",
@@ -38,8 +55,30 @@ BOILERPLATE = tuple(
         "sign up",
         "subscribe to",
         "powered by",
+        "alle rechte vorbehalten",
+        "cookies akzeptieren",
+        "datenschutzerklärung",
+        "nutzungsbedingungen",
+        "hier klicken",
+        "weiterlesen",
+        "newsletter abonnieren",
+        "tous droits réservés",
+        "accepter les cookies",
+        "politique de confidentialité",
+        "conditions d'utilisation",
+        "cliquez ici",
+        "lire la suite",
+        "abonnez-vous",
+        "todos los derechos reservados",
+        "aceptar cookies",
+        "política de privacidad",
+        "condiciones de uso",
+        "haga clic aquí",
+        "leer más",
+        "suscríbete",
     )
 )
+BOILERPLATE = NOTICE_SIGNS + NOTICE_PHRASES
 
 
 @dataclass(frozen=True)
@@ -54,7 +93,11 @@ class Limits:
     shout_min_words: int = 3
     stutter_share: float = 0.5
     stutter_min_words: int = 6
+    marks_share: float = 0.5
+    item_max_words: int = 5
+    run_lines: int = 5
     boilerplate_max_words: int = 12
+    repeated_lines: int = 4
     max_lost_share: float = 0.3
 
 
@@ -77,7 +120,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def line_fails(line: bytes, words: list[bytes], limits: Limits = Limits()) -> bool:
-    """Whether a line with words is navigation, shouting, symbol noise, stutter or boilerplate."""
+    """Whether a line with words fails by itself."""
     n = len(words)
     if sum(w in SEPARATORS for w in words) > limits.separator_share * n and n >= 3:
         return True
@@ -85,6 +128,8 @@ def line_fails(line: bytes, words: list[bytes], limits: Limits = Limits()) -> bo
         noisy = sum(w.translate(None, SYMBOL_BYTES) != w and w not in SEPARATORS for w in words)
         if noisy > limits.symbol_words_share * n:
             return True
+    if line.translate(None, ASCII_MARKS) != line and sum(not w.translate(None, ASCII_MARKS) for w in words) > limits.marks_share * n:
+        return True
     if n >= limits.shout_min_words and line.upper() != line.lower():
         if b"!!" in line and sum(w.endswith(b"!!") for w in words) > limits.shout_share * n:
             return True
@@ -94,29 +139,32 @@ def line_fails(line: bytes, words: list[bytes], limits: Limits = Limits()) -> bo
         return True
     if n <= limits.boilerplate_max_words:
         low = line.lower()
-        return any(x in low for x in BOILERPLATE)
+        return words[-1].endswith(ELLIPSES) or any(x in low for x in BOILERPLATE)
     return False
 
 
 def clean(data: bytes | None, limits: Limits = Limits()) -> tuple:
     """(n_words, n_dup_lines, n_repeat_words, lost_words, text of the lines that stay)."""
     lines = (data or b"").split(b"\n")
-    seen: set[bytes] = set()
-    everything: list[bytes] = []
-    stay, lost, dup = [], 0, 0
-    for line in lines:
-        words = line.split()
-        if words:
-            if line in seen:
-                dup += 1
-            else:
-                seen.add(line)
-            everything += words
-            if line_fails(line, words, limits):
-                lost += len(words)
-                continue
-        stay.append(line)
-    return len(everything), dup, repeated_words(everything), lost, b"\n".join(stay)
+    split = [line.split() for line in lines]
+    spoken = [i for i, words in enumerate(split) if words]
+    times = Counter(lines[i] for i in spoken)
+    fails: set[int] = set()
+    run: list[int] = []
+    for i in [*spoken, None]:
+        if i is not None and len(split[i]) <= limits.item_max_words and not split[i][-1].endswith(END_MARKS):
+            run.append(i)
+            continue
+        if len(run) >= limits.run_lines:
+            fails.update(run)
+        run = []
+    for i in spoken:
+        words = split[i]
+        if i not in fails and ((len(words) <= limits.boilerplate_max_words and times[lines[i]] >= limits.repeated_lines) or line_fails(lines[i], words, limits)):
+            fails.add(i)
+    everything = [w for i in spoken for w in split[i]]
+    lost = sum(len(split[i]) for i in fails)
+    return len(everything), len(spoken) - len(times), repeated_words(everything), lost, b"\n".join(x for i, x in enumerate(lines) if i not in fails) if fails else (data or b"")
 
 
 def _measure(limits: Limits, with_text: bool):

@@ -73,9 +73,13 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3_sql() -> str:
     limits = line_quality.Limits()
     separators = ", ".join(f"'{x.decode()}'" for x in sorted(line_quality.SEPARATORS))
-    furniture = " OR ".join(f"contains(lower(line), '{x.decode()}')" for x in line_quality.BOILERPLATE)
+    low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    furniture = " OR ".join("contains({}, '{}')".format(low, x.decode().replace("'", "''")) for x in line_quality.BOILERPLATE)
     word, symbols = r"'[^\x20\x09-\x0D]+'", f"'[{line_quality.SYMBOLS}]'"
 
+    def ends(marks) -> str:
+        return "(" + " OR ".join("ends_with(ws[n], '{}')".format(x.decode().replace("'", "''")) for x in marks) + ")"
+
     def share(condition: str, limit: float, of: str = "n") -> str:
         return f"len(list_filter(ws, lambda x: {condition})) > {limit}::DOUBLE * {of}"
 
@@ -86,15 +90,23 @@ windows AS (SELECT *, lead(word, 1) OVER d AS w2, lead(word, 2) OVER d AS w3 FRO
 hits AS (SELECT *, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS hit FROM windows),
 covered AS (SELECT doc_id, word, hit OR coalesce(lag(hit, 1) OVER d, false) OR coalesce(lag(hit, 2) OVER d, false) AS again FROM hits WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 words AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (again) AS n_repeat_words FROM covered GROUP BY doc_id),
-lines AS (SELECT doc_id, line, regexp_extract_all(line, {word}) AS ws, len(regexp_extract_all(line, {word})) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
+lines AS (SELECT doc_id, line, pos, regexp_extract_all(line, {word}) AS ws, len(regexp_extract_all(line, {word})) AS n
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts)),
+spoken AS (SELECT *, n <= {limits.item_max_words} AND NOT {ends(line_quality.END_MARKS)} AS item, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS spot,
+    count(*) OVER (PARTITION BY doc_id, line) AS times FROM lines WHERE n > 0),
+runs AS (SELECT *, spot - row_number() OVER (PARTITION BY doc_id, item ORDER BY pos) AS run FROM spoken),
+placed_lines AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item, run) AS run_lines FROM runs),
 judged AS (SELECT doc_id, line, n,
+    (item AND run_lines >= {limits.run_lines})
+    OR (n <= {limits.boilerplate_max_words} AND (times >= {limits.repeated_lines} OR {ends(line_quality.ELLIPSES)}))
+    OR {share("regexp_matches(x, '^[!-/:-@" + chr(92) + "[-`{-~]+$')", limits.marks_share)} OR
     (n >= 3 AND {share(f"x IN ({separators})", limits.separator_share)})
     OR {share(f"regexp_matches(x, {symbols}) AND x NOT IN ({separators})", limits.symbol_words_share)}
     OR (n >= {limits.shout_min_words} AND regexp_matches(line, '[A-Za-z]') AND {share("ends_with(x, '!!')", limits.shout_share)})
     OR (n >= {limits.shout_min_words} AND {share("regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')", limits.shout_share)})
     OR (n >= {limits.stutter_min_words} AND len(list_filter(range(1, n), lambda k: ws[k] = ws[k + 1])) > {limits.stutter_share}::DOUBLE * (n - 1))
     OR (n <= {limits.boilerplate_max_words} AND ({furniture})) AS fails
-  FROM lines WHERE n > 0),
+  FROM placed_lines),
 lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
 found AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, {symbols})) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words

@@ -50,9 +50,16 @@ CASES = {
     "capital letters of other alphabets": "É " * 10 + "\n".join(GOOD % i for i in range(9)),
     "long": " ".join("w%d" % i for i in range(60_000)),
     "boilerplate": "Copyright 2020. All rights reserved.\n" + "\n".join(GOOD % i for i in range(9)),
+    "a menu with an item a line": "\n".join([*(f"Item {i} of the menu" for i in range(20)), *(GOOD % i for i in range(6))]),
+    "verse": "\n".join(f"drift{i} sand{i} sea{i}," for i in range(20)),
+    "four headings in a row": "\n".join([*(f"Chapter {i}" for i in range(4)), *(GOOD % i for i in range(9))]),
+    "marks": "\n".join([*("???? !!! ---- .... word%d" % i for i in range(20)), *(GOOD % i for i in range(4))]),
+    "teasers": "\n".join([*(f"And then it happened to number {i} ..." for i in range(9)), *(GOOD % i for i in range(4))]),
+    "one line again and again": "\n".join(x for i in range(9) for x in (GOOD % i, "Our motto, as ever, is to serve.")),
+    "notices": "\n".join([*(f"© {i} die Verfasser dieser Seite, tous droits réservés" for i in range(9)), *(GOOD % i for i in range(6))]),
     "dup lines": "\n".join([GOOD % 1] * 2 + [GOOD % i for i in range(2, 12)] + ["", ""]),
 }
-KEPT = {"prose", "mostly good", "capital letters of other alphabets", "long", "boilerplate", "dup lines"}
+KEPT = {"verse", "four headings in a row", "prose", "mostly good", "capital letters of other alphabets", "long", "boilerplate", "dup lines"}
 
 
 def test_measures_and_verdicts(spark):
