@@ -21,6 +21,7 @@ rule for their root page does.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,6 @@ DAMPING = 0.85
 MARGIN = 0.05
 SEED_SHARE = 0.5
 TOLERANCE = 1e-6
-MAX_ROUNDS = 60
 
 
 @dataclass(frozen=True)
@@ -90,10 +90,16 @@ def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, w
 
     With ``walks`` the chances of a host's walks to come to a seed, which is 1 at the
     seeds themselves, instead of PageRank.  Every host of ``seeds`` is a node, and every end of an edge must be one.
-    Rounds are written to the shared folder; one number a round reaches the driver."""
+    Rounds are written to the shared folder; one number a round reaches the driver.
+
+    A round shrinks what is left to change by ``damping``: in sum over the hosts for
+    PageRank, in the largest change for walks.  So the number of rounds until no host
+    changes by more than TOLERANCE is known beforehand; if it weren't enough, that
+    would be an error, never a result."""
     spark = edges.sparkSession
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    # written, so that no aggregate stands between a join and the exchange of a hub's edges, which Spark then splits
+    out = materialize(edges.groupBy("src").agg(F.sum("n").alias("all")), "links-out")
+    into = materialize(edges.groupBy("dst").agg(F.sum("n").alias("all")), "links-in")
     if walks:  # a host's own links sum to one, not those of the host that a score comes from
         out, into = into.withColumnRenamed("dst", "of"), out.withColumnRenamed("src", "of")
         shared_out, shared_in = edges.join(out, F.col("dst") == F.col("of")), edges.join(into, F.col("src") == F.col("of"))
@@ -106,7 +112,9 @@ def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, w
     base = seeds.select("host", (unit * F.col("good")).alias("good"), (unit * F.col("bad")).alias("bad"))
     base = materialize(base, "trust-seeds")
     now, last = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), None
-    for _ in range(MAX_ROUNDS):
+    most = 1.0 if walks else float(base.agg(F.greatest(F.sum("good"), F.sum("bad"))).first()[0] or 0)
+    rounds = max(0, math.ceil(math.log(max(most, TOLERANCE) / TOLERANCE) / -math.log(damping))) + 1
+    for _ in range(rounds):
         moved = flows.join(now, flows["from"] == now["host"]).select("to", (F.col("t") * F.col("trust")).alias("t"), (F.col("d") * F.col("distrust")).alias("d"))
         gained = moved.groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         fresh = base.join(gained, base["host"] == gained["to"], "left").join(now.select(F.col("host").alias("h"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")), F.col("host") == F.col("h"))
@@ -123,8 +131,8 @@ def trust_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, w
             drop_dir(spark, last)
         last = uri
         if change is None or change <= TOLERANCE:
-            break
-    return now
+            return now
+    raise RuntimeError(f"scores still change after {rounds} rounds")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, margin: float = MARGIN) -> DataFrame:
@@ -132,7 +140,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     A NULL url, or one without ``://``, has an empty host and path, fits no rule
     and is allowed.  NULL html has no links.  Rows with NULL ids and repeated rows
-    are judged like others and stay; an empty table gives an empty result.
+    are judged like others and stay; an empty table gives an empty result.  Urls and
+    html of any length are read whole; other columns, whatever their names, are not
+    read.
     """
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col).cast("string")).alias("host"), path_of(F.col(url_col).cast("string")).alias("path"))
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
