@@ -4,10 +4,12 @@ Arrivals are appended as small immutable Parquet files.  Compaction groups runs
 of like size (one tier: sizes within a factor of ``FAN_IN``) and merges each
 group into one larger file, tier by tier, up to the target size.  A merge reads
 whole files in one task and writes one file, so it moves nothing between tasks.
-Each version is a JSON manifest that appears by one atomic rename which fails if
-the version exists; readers see a version whole or not at all, and of two
-writers one fails.  Files that no manifest names (of lost tasks or writers) are
-never read.
+Each version is a JSON manifest that appears at once and only if the version is
+new; readers see a version whole or not at all.  Of two appends at once the later
+commits again on top of the other; a compaction that another writer overtook
+fails.  Files that no manifest names (of lost tasks or writers) are never read.
+Files that a merge replaces stay, so that readers of older versions go on, until
+``vacuum`` deletes those that only old versions name.
 
 In DataFrame operations only; the driver holds a line of metadata for each file.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.scratch import drop_dir, new_dir
-from keelson.sources.files import Folder
+from keelson.sources.files import AlreadyThere, Folder
 
 FAN_IN = 4
 SMALL_BYTES = 4 << 20
@@ -34,6 +37,7 @@ TARGET_BYTES = 128 << 20
 #: Merges planned in one job, and jobs that run side by side.
 GROUPS_A_JOB = 256
 JOBS_AT_ONCE = 4
+APPEND_RETRIES = 20
 #: Up to so many files their numbers are broadcast, some 200 bytes each.
 BROADCAST_RUNS = 20_000
 
@@ -96,7 +100,7 @@ class ShardSet:
 
     def _commit(self, parent: int, operation: str, schema: str, runs: list[Run]) -> int:
         version = parent + 1
-        body = {"version": version, "operation": operation, "schema": schema, "runs": [asdict(r) for r in sorted(runs, key=lambda r: r.path)]}
+        body = {"version": version, "at": time.time(), "operation": operation, "schema": schema, "runs": [asdict(r) for r in sorted(runs, key=lambda r: r.path)]}
         self.folder.create_json(f"manifests/v{version:012d}.json", body)
         return version
 
@@ -110,18 +114,29 @@ class ShardSet:
 
     def append(self, docs: DataFrame) -> int:
         """Add ``docs`` as small shards, one for each of its partitions that has rows."""
-        parent = self.manifest()
         folder = self._new_folder()
         docs.write.parquet(folder)
-        return self._commit(parent["version"], "append", docs.schema.json(), self.runs() + self._written(folder, docs.schema))
+        made = self._written(folder, docs.schema)
+        for _ in range(APPEND_RETRIES):
+            parent = self.manifest()
+            try:
+                return self._commit(parent["version"], "append", docs.schema.json(), [Run(**x) for x in parent["runs"]] + made)
+            except AlreadyThere:
+                continue
+        raise AlreadyThere(f"{self.uri}: {APPEND_RETRIES} versions were taken by other writers")
 
-    def compact(self, fan_in: int = FAN_IN, small: int = SMALL_BYTES, target: int = TARGET_BYTES, keep_old: bool = False) -> int:
+    def compact(self, fan_in: int = FAN_IN, small: int = SMALL_BYTES, target: int = TARGET_BYTES, vacuum: bool = False) -> int:
         """Merge until no tier has a group to merge; one version for each pass.  Files that a
-        pass replaces are deleted once its manifest is there, unless ``keep_old``."""
+        pass replaces stay readable in older versions; ``vacuum`` deletes them after each
+        pass, for sets that nobody else reads yet."""
         from pyspark.sql.types import StructType
 
-        while groups := plan_merges(self.runs(), fan_in, small, target):
+        while True:
             parent = self.manifest()
+            runs = [Run(**x) for x in parent["runs"]]
+            groups = plan_merges(runs, fan_in, small, target)
+            if not groups:
+                return parent["version"]
             schema = StructType.fromJson(json.loads(parent["schema"]))
             jobs = [groups[i : i + GROUPS_A_JOB] for i in range(0, len(groups), GROUPS_A_JOB)]
 
@@ -137,11 +152,30 @@ class ShardSet:
             before = sum(r.rows for g in groups for r in g)
             if sum(r.rows for r in made) != before:
                 raise RuntimeError("a merge lost or repeated rows; the manifest stays as it was")
-            self._commit(parent["version"], "compact", parent["schema"], [r for r in self.runs() if r.path not in gone] + made)
-            if not keep_old:
-                for path in sorted(gone):
-                    drop_dir(self.spark, path)
-        return self.version()
+            self._commit(parent["version"], "compact", parent["schema"], [r for r in runs if r.path not in gone] + made)
+            if vacuum:
+                self.vacuum()
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n in self.folder.names("manifests") if n.startswith("v") and n.endswith(".json"))
+
+    def vacuum(self, keep_versions: int = 1, least_age: float = 0.0) -> int:
+        """Delete the files that only versions before the last ``keep_versions`` name, and
+        these versions' manifests; versions committed in the last ``least_age`` seconds stay.
+        Returns how many files went."""
+        known = self.versions()
+        manifests = {v: self.manifest(v) for v in known}
+        kept = {v for v in known if v in known[-max(1, keep_versions) :] or manifests[v]["at"] > time.time() - least_age}
+        # a version that stays keeps all later ones
+        kept |= {v for v in known if kept and v > min(kept)}
+        needed = {r["path"] for v in kept for r in manifests[v]["runs"]}
+        gone = {r["path"] for v in known if v not in kept for r in manifests[v]["runs"]} - needed
+        for path in sorted(gone):
+            drop_dir(self.spark, path)
+        for v in known:
+            if v not in kept:
+                self.folder.delete(f"manifests/v{v:012d}.json")
+        return len(gone)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version with the columns ``__path`` and ``__bytes`` of their shard; None before the first commit."""
@@ -164,11 +198,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", uri: str | None = None, fan_i
     shard numbers the files of that version from 0 in the order of their first id
     (and size, and path).  NULL ids, repeated rows and NULL or long texts are
     stored as they are; columns may have any names; an empty table gives an empty
-    result."""
+    result.  A set of its own (no ``uri``) keeps its newest version alone."""
     spark = docs.sparkSession
     store = ShardSet(spark, uri or new_dir(spark, "shards"))
     store.append(docs)
-    version = store.compact(fan_in, small, target)
+    version = store.compact(fan_in, small, target, vacuum=uri is None)
     rows = store.read(version).select(F.col(id_col).alias("id"), F.col("__path").alias("path"), F.col("__bytes").alias("bytes"))
     firsts = {r["path"]: (r["first"] is None, r["first"]) for r in rows.groupBy("path").agg(F.min("id").alias("first")).toLocalIterator()}
     order = sorted(store.runs(version), key=lambda r: (firsts[r.path], r.bytes, r.path))
