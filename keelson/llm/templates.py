@@ -15,9 +15,15 @@ other values, and one consistent occurrence is enough.  A long passage of an ite
 is enough too: RUN windows in a row with consistent slots, 15 words or more.
 
 Before the join, documents drop the windows that cannot match by a Bloom filter
-over the benchmark's windows.  The filter has a fixed number of bits, so what is
-broadcast does not grow with either side; a larger benchmark only lets more
-windows through to the join, which is exact.
+over the benchmark's windows.  It has BITS_A_WINDOW bits for each of them, within
+fixed bounds, so what is broadcast is at most MOST_BITS; a benchmark beyond that
+only lets more windows through to the join, which is exact.
+
+A window that many items and many documents share would join to all their pairs.
+So pairs are first met by an item's telling windows alone: its rarest ones, one
+more than a contaminated document may lack, and the rarest of each stretch that
+every passage holds whole.  No pair that can be contaminated lacks all of them.
+The other windows are then counted for these pairs only.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from keelson.llm.scratch import materialize, small_batches
 from keelson.llm.words import HASH_SEED
@@ -41,7 +48,8 @@ WIDTH = 5
 COVERAGE = 0.8
 AGREEMENT = 0.8
 LEAST_LITERALS = 3
-BLOOM_BITS = 1 << 23
+BITS_A_WINDOW = 16
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Windows in a row that make a passage of an item: 15 words.
 RUN = 11
 #: How far the windows of one occurrence may be moved against each other, as a share of the item's windows.
@@ -88,9 +96,9 @@ def windows(tokens: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n).view(np.int64)
 
 
-def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spots(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
     u = h.view(np.uint64)
-    return (u & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+    return (u & np.uint64(n_bits - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(n_bits - 1)).astype(np.int64)
 
 
 def placed_windows(text: str | None, width: int, least_literals: int, wanted=None):
@@ -119,7 +127,7 @@ def _window_rows(width: int, least_literals: int, bloom):
             bits = np.frombuffer(bloom.value, np.uint8)
 
             def wanted(h):
-                x, y = _spots(h)
+                x, y = _spots(h, 8 * len(bits))
                 return np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1).tolist()
 
         for batch in batches:
@@ -149,18 +157,37 @@ def _explode_windows(df: DataFrame, id_col: str, text_col: str, width: int, leas
 
 
 def _bloom(hashes: DataFrame):
-    """A broadcast Bloom filter of BLOOM_BITS bits over column h; the driver gets at most one long for 64 bits."""
+    """A broadcast Bloom filter over column h; the driver gets at most two longs for 64 of its bits."""
     spark = hashes.sparkSession
-    low = F.col("h").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    high = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    n_bits = LEAST_BITS
+    wished = min(MOST_BITS, BITS_A_WINDOW * hashes.count())
+    while n_bits < wished:
+        n_bits *= 2
+    low = F.col("h").bitwiseAND(F.lit(n_bits - 1))
+    high = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(n_bits - 1))
     spots = hashes.select(F.explode(F.array(low, high)).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-    filled = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in words.collect():
-        filled[r["word"]] = r["bits"]
+    found = words.toArrow()
+    filled = np.zeros(n_bits // 64, np.int64)
+    filled[found["word"].to_numpy()] = found["bits"].to_numpy()
     return spark.sparkContext.broadcast(filled.tobytes())
 
 
+def _telling(items: DataFrame, needed: DataFrame, coverage: float, run: int) -> DataFrame:
+    """(item, h) of the windows by which pairs are met: of any ``coverage`` of an item's
+    windows, and of any ``run`` in a row, at least one is among them."""
+    shared = items.groupBy("h").agg(F.count_distinct("row").alias("in_items"))
+    places = items.join(shared, "h").groupBy("row", "pos").agg(F.max("in_items").alias("in_items"))
+    by_place, rarest = Window.partitionBy("row").orderBy("pos"), [F.col("in_items"), F.col("pos")]
+    stretch = F.floor((F.row_number().over(by_place) - 1) / ((run + 1) // 2))
+    places = places.withColumn("stretch", stretch).join(needed, "row")
+    of_stretch = F.row_number().over(Window.partitionBy("row", "stretch").orderBy(*rarest))
+    of_item = F.row_number().over(Window.partitionBy("row").orderBy(*rarest))
+    spare = F.col("item_windows") - F.ceil(F.col("item_windows") * F.lit(coverage))
+    chosen = places.withColumns({"of_stretch": of_stretch, "of_item": of_item}).where((F.col("of_stretch") == 1) | (F.col("of_item") <= spare + 1))
+    return items.join(chosen.select("row", "pos"), ["row", "pos"]).select(F.col("row").alias("item"), "h").distinct()
+
+
 @lru_cache(maxsize=256)
 def _item_windows(text: str, width: int, least_literals: int) -> list[tuple]:
     return list(placed_windows(text, width, least_literals))
@@ -277,13 +304,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``least_literals`` tokens that are no placeholders don't count.  Items
     without windows (NULL, empty, all placeholders) contaminate nothing; items
     of fewer than five tokens only documents of the same tokens.  Pairs below
-    ``coverage`` are there by a passage of ``run`` windows in a row.
+    ``coverage`` are there by a passage of ``run`` windows in a row.  Texts of any
+    length are read whole.  An empty table on either side gives an empty result.
+    Other columns, whatever their names, are not read.
     """
     items = materialize(_explode_windows(benchmark, item_col, item_text_col, width, least_literals, None).distinct(), "benchmark-windows")
     needed = items.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
-    hits = _explode_windows(docs, id_col, text_col, width, least_literals, _bloom(items)).drop("pos")
+    hits = _explode_windows(docs, id_col, text_col, width, least_literals, _bloom(items.select("h").distinct())).drop("pos")
+    hits = materialize(hits, "document-windows")
+    candidates = hits.select("row", "h").distinct().join(materialize(_telling(items, needed, coverage, run), "telling-windows"), "h")
+    candidates = materialize(candidates.select("row", "item").distinct(), "candidate-pairs")
     sides = items.select(F.col("row").alias("item"), "pos", "h", F.col("slots").alias("item_slots"))
-    met = materialize(hits.join(sides, "h"), "window-matches")
+    met = materialize(hits.join(candidates, "row").join(sides, ["item", "h"]), "window-matches")
     counted = met.groupBy("row", "item").agg(F.count_distinct("pos").alias("matched_windows"))
     counted = counted.join(needed.withColumnRenamed("row", "item"), "item").withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
     pairs = materialize(counted.where((F.col("coverage") >= coverage) | (F.col("matched_windows") >= run)), "covered-items")
@@ -307,8 +339,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without its contaminated documents."""
+    """``docs`` without its contaminated documents, with all its columns, whatever their names.
+
+    Rows without a text, an empty one among them, hold no item and stay; of repeated
+    rows all go or all stay; rows without an id are told apart by their texts."""
     found = contaminated(docs, benchmark, id_col, text_col, **options)
-    gone = materialize(found.select(F.col("id").alias("__id"), F.col("content").alias("__content")).distinct(), "contaminated")
-    content = F.xxhash64(F.col(text_col).cast("string"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (content == F.col("__content")), "left_anti")
+    gone = materialize(found.select("id", "content").distinct(), "contaminated").alias("gone")
+    named = docs.alias("doc")
+    content = F.xxhash64(F.col(f"doc.`{text_col}`").cast("string"))
+    return named.join(gone, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("gone.id")) & (content == F.col("gone.content")), "left_anti")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,38 @@ def test_query_equals_brute_force(spark, sf_dir):
     got = {(r["doc_id"], r["item_id"]) for r in op4_template_decontamination(spark, sf_dir).collect()}
     assert got == brute(docs, items)
     assert {(i, j) for i, text in docs for j, item in items if item in text} <= got
+
+
+def test_a_window_that_everyone_shares_meets_no_pairs(spark):
+    """Items and documents that share one phrase are not paired for it; a whole item still is found."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    phrase = "which of the following is the right answer here"
+    items = [(i, f"{words(20)} {phrase} {words(20)}") for i in range(40)]
+    docs = [(i, f"{words(30)} {phrase} {words(30)}") for i in range(60)] + [(100 + i, f"{words(10)} {items[i][1]} {words(10)}") for i in range(40)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").withColumns({"__id": F.lit(1), "__content": F.lit("x"), "row": F.lit(2), "h": F.lit(3)})
+    benchmark, table = frame(items, "item_id"), frame(docs, "doc_id")
+    found = t.contaminated(table, benchmark).collect()
+    assert sorted((r["id"], r["item"]) for r in found) == [(100 + i, i) for i in range(40)]
+    left = t.decontaminate(table, benchmark)
+    assert left.columns == table.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(60))
+    windows = t._explode_windows(benchmark, "item_id", "text", 5, 3, None).distinct()
+    needed = windows.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
+    telling = t._telling(windows, needed, t.COVERAGE, t.RUN)
+    shared = windows.groupBy("h").agg(F.count_distinct("row").alias("n")).where("n > 1").select("h")
+    assert shared.count() >= 5 and telling.join(shared, "h", "left_semi").count() == 0
+
+
+def test_telling_windows_are_in_every_match(spark):
+    """Any 80 % of an item's windows, and any 11 in a row, hold a telling one."""
+    rng = random.Random(8)
+    for n in (1, 2, 4, 5, 9, 10, 30, 63):
+        text = " ".join(f"w{rng.randrange(40)}x" for _ in range(n + 4))
+        windows = t._explode_windows(spark.createDataFrame([(1, text)], "item_id long, text string"), "item_id", "text", 5, 3, None).distinct()
+        needed = windows.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
+        telling = {r["h"] for r in t._telling(windows, needed, t.COVERAGE, t.RUN).collect()}
+        places = {r["pos"]: r["h"] in telling for r in windows.collect()}
+        without = [p for p, told in places.items() if not told]
+        assert len(without) < t.COVERAGE * len(places)
+        order = sorted(places)
+        assert all(any(places[p] for p in order[k : k + t.RUN]) for k in range(len(order) - t.RUN + 1))
