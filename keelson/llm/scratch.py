@@ -17,9 +17,13 @@ FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> Folder:
-    """The folder ``spark.checkpoint.dir``; set here only if it is unset."""
+    """The folder ``spark.checkpoint.dir``.  Only a local master may leave it unset: there all
+    tasks share the machine's folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that all executors share")
         base = FALLBACK_DIR
         spark.sparkContext.setCheckpointDir(base)
     return Folder(spark, base)
