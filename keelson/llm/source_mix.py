@@ -92,10 +92,14 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     the id, and rows that tie in it are repeated rows of one document, which of
     them gets a copy makes no difference.  A source without words has target 0, its
     rows no copies.  An empty table gives an empty result.  Input columns named
-    source_size, target or copies are replaced.
+    source_size, target or copies are replaced; others may have any name.
     """
+    carried = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
+    # what the caller's columns are called doesn't matter inside a struct
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("__row")
+    base = sized.select(row, *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "__id"), (source_col, "__src"), (size_col, "__size"))])
+    id_col, source_col, size_col = "__id", "__src", "__size"
     spark = sized.sparkSession
-    base = sized.drop("source_size", "target", "copies")
     tie = draw(seed, "tie", F.col(id_col))
     counted = base.groupBy(F.col(source_col).alias("__of")).agg(F.ceil(F.count("*") / STRIPE_ROWS).alias("__stripes"))
     counted = materialize(counted, "mix-stripes")  # its size is known now, so Spark broadcasts it only if it is small
@@ -118,7 +122,7 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     rank = F.col("start") + F.col("__place")
     crossed = F.floor((rank + 1) * F.col("rate") + F.col("offset")) - F.floor(rank * F.col("rate") + F.col("offset"))
     copies = F.when(F.col(size_col) > 0, F.least(crossed, F.lit(most))).otherwise(crossed * 0)
-    return found.withColumn("copies", copies.cast("long")).select(*[F.col(f"`{c}`") for c in sized.columns if c not in ("source_size", "target", "copies")], "source_size", "target", "copies")
+    return found.select("__row.*", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -127,9 +131,28 @@ def sizes_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: ``docs`` with each row repeated as often as it is taken."""
-    sized = docs.withColumn("__size", n_words(F.col(text_col).cast("string"))).withColumn("__src", F.col(source_col).cast("string"))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    taken = mix(sized.select(F.struct(*kept).alias("__row"), F.col(id_col).alias("__id"), "__src", "__size"), "__id", "__src", "__size", **options)
-    repeats = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
-    return taken.where("copies > 0").select("__row", F.explode(repeats)).select("__row.*")
+    """The mix itself: ``docs`` with each row repeated as often as it is taken.
+
+    The order is made of ids, sources and sizes; texts move once, when they meet
+    their copies.  Rows are known by their id and a hash of all their columns (but
+    maps, which have none), so of equal rows one stands for all their copies.  NULL
+    sources are a source; NULL and empty texts have no words and are never taken;
+    columns may have any names; an empty table gives an empty result."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    key = {"id": F.col(f"`{id_col}`"), "content": F.xxhash64(*hashed)}
+    narrow = docs.select(*[c.alias(n) for n, c in key.items()], F.col(f"`{source_col}`").cast("string").alias("of"), n_words(F.col(f"`{text_col}`").cast("string")).alias("size"))
+    taken = mix(materialize(narrow, "mix-sizes"), "id", "of", "size", **options)
+    copies = materialize(taken.groupBy("id", "content").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "mix-copies")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in key.items()]).alias("doc")
+
+    def repeated(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        counts = counts.alias("many")
+        met = rows.join(counts, F.col("doc.id").eqNullSafe(F.col("many.id")) & (F.col("doc.content") == F.col("many.content")))
+        return met.select("doc.row", F.explode(F.array_repeat(F.lit(1), F.col("many.copies").cast("int")))).select("row.*")
+
+    once, many = copies.where("rows = 1"), copies.where("rows > 1")
+    out = repeated(named, once)
+    if many.isEmpty():
+        return out
+    alike = named.join(many.alias("many"), F.col("doc.id").eqNullSafe(F.col("many.id")) & (F.col("doc.content") == F.col("many.content")), "left_semi")
+    return out.unionByName(repeated(alike.groupBy("id", "content").agg(F.first("row").alias("row")).alias("doc"), many))

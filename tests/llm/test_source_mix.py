@@ -120,3 +120,12 @@ def test_main_path_has_no_python(spark, sf_dir):
 
 def test_query_equals_sql(spark, sf_dir):
     assert_same(op1_source_mix(spark, sf_dir), ORACLE_SQL["op1_source_mix"], sf_dir)
+
+
+def test_input_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", 1 + i % 7) for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    names = ["start", "rate", "offset", "__task", "__at", "__of", "__row", "__id", "__src", "copies", "target"]
+    clashing = source_mix.mix(plain.withColumns({c: F.lit("own") for c in names}))
+    assert {(r["doc_id"], r["copies"]) for r in clashing.collect()} == {(r["doc_id"], r["copies"]) for r in source_mix.mix(plain).collect()}
+    assert clashing.where("start = 'own' and rate = 'own' and offset = 'own' and __row = 'own' and __id = 'own'").count() == 40
