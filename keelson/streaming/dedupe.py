@@ -50,16 +50,17 @@ def dedupe_source(spark: SparkSession, config: Config, source: Source, path: str
 
 
 def dedupe_all(spark: SparkSession, config: Config, only: str | None = None, available_now: bool = False) -> list[StreamingQuery]:
-    """A query for each source whose RAW table has data; they run side by side."""
+    """A query for each source whose RAW table has data; they run side by side and see
+    committed files alone."""
     queries = []
     for source in config.selected(only):
         raw = Table(spark, config.path("raw", source.name, source.entity))
         if not raw.exists():
             continue
         # RAW's data folders carry the transaction as a partition column; rows that an upsert
-        # rewrote, or that a failed writer left, are suppressed by their keys
+        # rewrote are suppressed by their keys
         schema = T.StructType([*raw.schema().fields, T.StructField(TXN, T.StringType())])
-        queries.append(dedupe_source(spark, config, source, f"{raw.uri}/data", schema, available_now))
+        queries.append(dedupe_source(spark, config, source, raw.publish(), schema, available_now))
     return queries
 
 

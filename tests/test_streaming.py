@@ -1,5 +1,7 @@
 import datetime
 
+from pyspark.sql import functions as F
+
 from keelson.config import config_from
 from keelson.plans import jobs
 from keelson.sources.readers import read_stream
@@ -49,3 +51,43 @@ def test_stream_keys_equal_batch_keys(spark, tmp_path):
     streaming.wait(spark, queries, available_now=True)
     key = lambda df: {(r["email"], r["phone"]) for r in df.collect()}
     assert key(Table(spark, config.path("bronze_stream", "CRM", "customer")).read()) == key(jobs.bronze_side(spark, config, config.sources[0]))
+
+
+def lake(spark, tmp_path, n=40):
+    (tmp_path / "CRM.csv").write_text("customer_id,email,phone,created_ts\n" + "".join(f"{i},e{i}@x.com,{i},2024-01-01\n" for i in range(n)))
+    fields = [{"name": "customer_id", "type": "string", "natural_key": True}, {"name": "email", "type": "string"}, {"name": "phone", "type": "string"}]
+    return config_from({"root": str(tmp_path / "lake"), "sources": [{"name": "CRM", "path": str(tmp_path / "CRM.csv"), "dedupe_keys": ["email", "phone"]}], "schemas": {"crm_customer": {"fields": fields}}})
+
+
+def streamed(spark, config):
+    streaming.wait(spark, streaming.dedupe_all(spark, config, available_now=True), available_now=True)
+    return Table(spark, config.path("bronze_stream", "CRM", "customer")).read()
+
+
+def test_only_committed_files_are_streamed(spark, tmp_path):
+    config = lake(spark, tmp_path)
+    jobs.ingest(spark, config)
+    raw = Table(spark, config.path("raw", "CRM", "customer"))
+    lost = raw.read().withColumn("email", F.concat(F.lit("lost"), "email"))
+    raw._write(lost, ["ingestion_date"])  # a writer that failed before its commit
+    assert streamed(spark, config).count() == 40
+    raw._write(lost, ["ingestion_date"])
+    raw.append(raw.read().limit(5).withColumn("email", F.concat(F.lit("new"), "email")), ["ingestion_date"])
+    got = streamed(spark, config)
+    assert got.count() == 45 and got.where("email like 'lost%'").count() == 0
+
+
+def test_commits_past_the_stream_log_s_compaction_are_streamed_once(spark, tmp_path):
+    config = lake(spark, tmp_path, 3)
+    jobs.ingest(spark, config)
+    raw = Table(spark, config.path("raw", "CRM", "customer"))
+    row = raw.read().limit(1)
+    for k in range(13):
+        if k == 6:
+            assert streamed(spark, config).count() == 3 + 6
+        raw.append(row.withColumn("email", F.lit(f"k{k}")), ["ingestion_date"])
+    raw.compact()
+    raw.append(row.withColumn("email", F.lit("last")), ["ingestion_date"])
+    got = [r["email"] for r in streamed(spark, config).collect()]
+    assert sorted(got) == sorted([f"e{i}@x.com" for i in range(3)] + [f"k{k}" for k in range(13)] + ["last"])
+    assert sorted(r["email"] for r in raw.read().collect()) == sorted(got), "batch readers don't follow the stream's log"
