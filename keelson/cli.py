@@ -17,7 +17,7 @@ JOBS = ("ingest", "bronze", "silver", "gold", "all", "history", "show", "reset-c
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="keelson", description=__doc__)
     p.add_argument("job", choices=JOBS)
-    p.add_argument("--config", required=True, help="JSON file with sources, root, connections and schemas")
+    p.add_argument("--config", required=True, help="JSON file with sources, root, connections and schemas, at any URI that Spark reads")
     p.add_argument("--source", help="only this source, in any case")
     p.add_argument("--mode", choices=("batch", "streaming"), default="batch", help="of the job bronze")
     p.add_argument("--available-now", action="store_true", help="streaming: stop when all that is there has been read")
@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(filename=args.log_file, level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     spark = get_spark(f"keelson-{args.job}", args.master)
-    config = configs.load(args.config)
+    config = configs.load(args.config, spark)
     if args.job in ("history", "show"):
         table = Table(spark, args.table)
         (table.history() if args.job == "history" else table.read(args.version, args.timestamp)).show(truncate=False)

@@ -77,9 +77,15 @@ def config_from(d: dict) -> Config:
     return Config(tuple(source_from(s) for s in d["sources"]), d["root"], d.get("environment", "local"), bool(d.get("reset_mode", False)), connections, d.get("schemas", {}), {k.lower(): v for k, v in d.get("paths", {}).items()})
 
 
-def load(path: str) -> Config:
-    with open(path, encoding="utf-8") as f:
-        return config_from(json.load(f))
+def load(path: str, spark=None) -> Config:
+    """A JSON file; with a session at any URI that Spark reads, without one on the local disk."""
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return config_from(json.load(f))
+    from keelson.sources.files import Folder
+
+    parent, _, name = path.rpartition("/")
+    return config_from(Folder(spark, parent or ".").read_json(name))
 
 
 def env_secret(name: str) -> str | None:

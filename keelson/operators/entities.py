@@ -15,8 +15,9 @@ Key = Callable[[], Column]
 
 @dataclass(frozen=True)
 class EntityRule:
-    """blocking: derived key columns; compared: fields of the similarity; required: must
-    not be NULL; identity: key of the golden record; gold_columns: its columns, None for all."""
+    """blocking: derived key columns; reads: the columns these are derived from; compared:
+    fields of the similarity; required: must not be NULL; identity: key of the golden
+    record; gold_columns: its columns, None for all."""
 
     name: str
     blocking: tuple[tuple[str, Key], ...]
@@ -26,6 +27,7 @@ class EntityRule:
     id_column: str | None = None
     gold_columns: tuple[str, ...] | None = None
     derived: tuple[tuple[str, Key], ...] = ()
+    reads: tuple[str, ...] = ()
 
     @property
     def block_columns(self) -> list[str]:
@@ -52,6 +54,7 @@ RULES: dict[str, EntityRule] = {
     for r in (
         EntityRule(
             name="customer",
+            reads=("date_of_birth", "phone", "first_name", "last_name"),
             derived=(("norm_phone", lambda: S.digits(F.col("phone"))),),
             blocking=(
                 ("blocking_dob", column("date_of_birth")),
@@ -67,6 +70,7 @@ RULES: dict[str, EntityRule] = {
         ),
         EntityRule(
             name="account",
+            reads=("account_name", "account_group"),
             blocking=(("blocking_account", sounds("account_name")), ("blocking_group", column("account_group"))),
             compared=("account_name", "account_group", "account_owner", "account_code"),
             required=("account_id", "account_name"),
@@ -75,6 +79,7 @@ RULES: dict[str, EntityRule] = {
         ),
         EntityRule(
             name="address",
+            reads=("postal_code", "city", "state"),
             blocking=(("blocking_postal", column("postal_code")), ("blocking_city", sounds("city")), ("blocking_state", column("state"))),
             compared=("city", "state", "postal_code", "address_line1", "address_line2"),
             required=("postal_code", "city", "state"),
@@ -82,6 +87,7 @@ RULES: dict[str, EntityRule] = {
         ),
         EntityRule(
             name="transactions",
+            reads=("amount", "currency", "transaction_date"),
             blocking=(("blocking_amount", column("amount")), ("blocking_currency", column("currency")), ("blocking_date", lambda: F.to_date("transaction_date"))),
             compared=("account_id", "transaction_type", "customer_id", "source_system", "invoice_code", "document_number", "opportunity_id", "opportunity_stage", "campaign_id"),
             required=("transaction_id", "amount", "currency"),
@@ -90,6 +96,7 @@ RULES: dict[str, EntityRule] = {
         ),
         EntityRule(
             name="contacts",
+            reads=("contact_value",),
             blocking=(("blocking_contact", sounds("contact_value")),),
             compared=("contact_value", "contact_type", "source_system", "created_ts"),
             required=("contact_id", "contact_value"),

@@ -92,8 +92,7 @@ def silver(df: DataFrame, config: Config | None = None, strict_compat: bool = Fa
 
 def _with_columns(df: DataFrame, rule: EntityRule) -> DataFrame:
     """``df`` with the columns its blocking needs, NULL where the sources have none."""
-    needed = {"customer": ("date_of_birth", "phone", "first_name", "last_name"), "account": ("account_name", "account_group"), "address": ("postal_code", "city", "state"), "transactions": ("amount", "currency", "transaction_date"), "contacts": ("contact_value",)}
-    missing = [c for c in needed.get(rule.name, ()) if c not in df.columns]
+    missing = [c for c in rule.reads if c not in df.columns]
     return df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
 
 

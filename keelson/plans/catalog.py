@@ -20,7 +20,7 @@ from keelson.plans import jobs
 from keelson.schema import Field, Schema
 from keelson.sources.files import Folder
 from keelson.sources.readers import read_csv, read_source, read_stream
-from keelson.sources.store import Table
+from keelson.sources.store import NoSuchTable, Table
 from keelson.streaming import dedupe as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint folder, removed when the driver's JVM ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        base = "/tmp/checkpoints"
     folder = Folder(spark, f"{base}/catalog-{label}-{uuid.uuid4().hex}")
     folder.fs.mkdirs(folder.path())
     folder.fs.deleteOnExit(folder.path())
@@ -271,7 +275,8 @@ CUSTOMER_SCHEMA = Schema("crm_customer", (Field("customer_id", "long", True), Fi
 @query("""
 SELECT c_custkey AS customer_id, lower(c_mktsegment) || '@x.example.com' AS email,
        CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS balance,
-       CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(c_custkey % 28 AS INT) END AS opened, c_name AS "note"
+       CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(c_custkey % 28 AS INT) END AS opened,
+       CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE TIMESTAMP '2024-03-01 00:00:00' + to_minutes(CAST(c_custkey AS INT)) END AS seen, c_name AS "note"
 FROM customer""")
 def normalize_columns(spark, sf_dir):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 28).cast("int")).cast("string")
@@ -280,6 +285,7 @@ def normalize_columns(spark, sf_dir):
         F.concat(F.lit(" "), F.upper("c_mktsegment"), F.lit("@X.example.com ")).alias("EMAIL"),
         F.when(F.col("c_custkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("Balance"),
         F.when(F.col("c_custkey") % 9 == 0, F.lit("not a date")).otherwise(day).alias("opened"),
+        F.when(F.col("c_custkey") % 8 == 0, F.lit("yesterday")).otherwise(F.date_format(F.timestamp_seconds(F.lit(1709251200) + 60 * F.col("c_custkey")), "yyyy-MM-dd HH:mm:ss")).alias("Seen "),
         F.col("c_name").alias("Note"),
     )
     return S.standardize(S.normalize_headers(messy), CUSTOMER_SCHEMA)
@@ -445,12 +451,62 @@ def resolve_threshold(spark, sf_dir):
     return found.select("account_id", "similarity", "silver_type")
 
 
-@query()
+def _longest_block(x: str, y: str) -> str:
+    """SQL for the longest common block of two strings, the first of equally long ones: length * 10^6 + (999 - its place in x) * 10^3 + 999 - its place in y."""
+    common = f"len(list_filter(range(1, least(len({x}) - i, len({y}) - j) + 2), lambda q: substr({x}, i, q) = substr({y}, j, q)))"
+    return f"list_max(flatten(list_transform(range(1, len({x}) + 1), lambda i: list_transform(range(1, len({y}) + 1), lambda j: {common} * 1000000 + (999 - i) * 1000 + 999 - j))))"
+
+
+def ratios_sql(given: str) -> str:
+    """CTEs ending in ratios (a, b, r): the share of matching blocks of the distinct unequal pairs (a, b) of ``given``,
+    found block by block to the left and right of the longest one.  Goes behind WITH RECURSIVE."""
+    return f"""
+pairs AS (SELECT DISTINCT a, b FROM ({given}) WHERE a <> b),
+blocks AS (SELECT a, b, a AS x, b AS y, {_longest_block("a", "b")} AS m FROM pairs
+  UNION ALL
+  SELECT a, b, x, y, {_longest_block("x", "y")} FROM (
+    SELECT a, b, unnest([substr(x, 1, 998 - m // 1000 % 1000), substr(x, 999 - m // 1000 % 1000 + m // 1000000)]) AS x,
+           unnest([substr(y, 1, 998 - m % 1000), substr(y, 999 - m % 1000 + m // 1000000)]) AS y
+    FROM blocks WHERE m >= 1000000) WHERE x <> '' AND y <> ''),
+ratios AS (SELECT a, b, 2.0::DOUBLE * sum(m // 1000000) / (len(a) + len(b)) AS r FROM blocks GROUP BY a, b)"""
+
+
+def _resolved_sql(entity: str, threshold: str = "80", as_text: bool = False) -> str:
+    """SELECT of all columns, similarity and silver_type of an entity's rows, by the default score."""
+    rule, columns = RULES[entity], COLUMNS[entity]
+    listed = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" if as_text and c != "created_ts" else c for c in columns)
+    compared = [c for c in rule.compared if c in columns]
+    text = lambda c: f"lower(CASE WHEN CAST({c} AS VARCHAR) NOT IN ('', '0', '0.0') THEN CAST({c} AS VARCHAR) END)"
+    first = ", ".join(f"first_value({c}) OVER w AS main_{c}" for c in compared)
+    given = " UNION ALL ".join(f"SELECT {text(c)} AS a, {text('main_' + c)} AS b FROM ranked WHERE rn > 1" for c in compared)
+    one = lambda c: f"CASE WHEN {text(c)} = {text('main_' + c)} THEN 1.0::DOUBLE ELSE coalesce((SELECT r FROM ratios WHERE a = {text(c)} AND b = {text('main_' + c)}), 0.0::DOUBLE) END"
+    score = f"({' + '.join(map(one, compared))}) * {100.0 / len(compared)!r}::DOUBLE"
+    return f"""
+WITH RECURSIVE ranked AS (SELECT *, row_number() OVER w AS rn, {first} FROM (SELECT {listed} FROM ({fx.oracle(RELATIONS[entity])}))
+  WINDOW w AS (PARTITION BY {BLOCK_SQL[entity]} ORDER BY {_order_sql(rule, columns)})),
+{ratios_sql(given)},
+scored AS (SELECT *, CASE WHEN rn > 1 THEN {score} END AS score FROM ranked)
+SELECT {", ".join(columns)}, round(score, 6) AS similarity, CASE WHEN score >= {threshold} THEN 'CONFLICTED' ELSE 'MAIN' END AS silver_type FROM scored"""
+
+
+@query(f"SELECT account_id, similarity, silver_type FROM ({_resolved_sql('account')})")
 def similarity_ratio(spark, sf_dir):
     found = matching.resolve(fx.relation(spark, sf_dir, fx.ACCOUNTS), RULES["account"])
     return found.select("account_id", F.round("similarity", 6).alias("similarity"), "silver_type")
 
 
+THRESHOLDS = {"Salesforce": 95.0, "ERP": 30.0, "CRM": 60.0}
+
+
+@query(f"""SELECT account_id, similarity, silver_type FROM ({
+    _resolved_sql("account", "CASE source_system " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " ELSE 80 END")
+})""")
+def threshold_by_source(spark, sf_dir):
+    config = config_from({"root": "/", "sources": [{"name": k, "entity": "account", "similarity_threshold": v} for k, v in THRESHOLDS.items()]})
+    found = matching.resolve(fx.relation(spark, sf_dir, fx.ACCOUNTS), RULES["account"], config)
+    return found.select("account_id", F.round("similarity", 6).alias("similarity"), "silver_type")
+
+
 @query(f"""
 SELECT customer_id, row_number() OVER (PARTITION BY split_part(email, '@', -1), substr(phone, 1, 3), {soundex_sql("first_name")}
   ORDER BY {_order_sql(DRAFT_CUSTOMER, COLUMNS["customer"])}) = 1 AS survivor FROM ({fx.oracle(fx.PEOPLE)})""")
@@ -458,15 +514,24 @@ def survivorship_draft(spark, sf_dir):
     return matching.blocked(fx.relation(spark, sf_dir, fx.PEOPLE), DRAFT_CUSTOMER).select("customer_id", F.col("__survivor").alias("survivor"))
 
 
-@query()
+_DRAFT_PEOPLE = f"SELECT * REPLACE (translate(phone, '()', '') AS phone) FROM ({fx.oracle(fx.PEOPLE)})"
+
+
+@query(f"""
+WITH RECURSIVE ranked AS (SELECT *, row_number() OVER w AS rn, first_value(first_name) OVER w AS main_name, first_value(email) OVER w AS main_email, first_value(phone) OVER w AS main_phone
+  FROM ({_DRAFT_PEOPLE}) WHERE regexp_matches(email, '^[^@]+@[^@]+\\.[^@]+$') AND regexp_matches(phone, '^[0-9+\\- ]{{7,20}}$')
+  WINDOW w AS (PARTITION BY split_part(email, '@', -1), substr(phone, 1, 3), {soundex_sql("first_name")} ORDER BY {_order_sql(DRAFT_CUSTOMER, COLUMNS["customer"])})),
+{ratios_sql("SELECT first_name AS a, main_name AS b FROM ranked UNION ALL SELECT email, main_email FROM ranked UNION ALL SELECT phone, main_phone FROM ranked")},
+scored AS (SELECT customer_id, rn, {" + ".join(f"CASE WHEN {c} = {m} THEN 30.0::DOUBLE ELSE coalesce((SELECT r FROM ratios WHERE a = {c} AND b = {m}), 0.0::DOUBLE) * 30.0::DOUBLE END" for c, m in (("first_name", "main_name"), ("email", "main_email"), ("phone", "main_phone")))} AS score FROM ranked)
+SELECT customer_id, CASE WHEN rn > 1 THEN round(score, 6) END AS similarity, CASE WHEN rn > 1 AND score >= 80 THEN 'CONFLICTED' ELSE 'MAIN' END AS silver_type FROM scored""")
 def similarity_weighted(spark, sf_dir):
     found = matching.draft_silver(fx.relation(spark, sf_dir, fx.PEOPLE).withColumn("phone", F.translate("phone", "()", "")))
     return found.select("customer_id", F.round("similarity", 6).alias("similarity"), "silver_type")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{e}' AS entity, silver_type, count(*) AS n FROM ({_resolved_sql(e, as_text=True)}) GROUP BY silver_type" for e in RELATIONS))
 def silver_all_entities(spark, sf_dir):
-    parts = [fx.relation(spark, sf_dir, RELATIONS[e]).withColumn("entity", F.lit(e)) for e in ("account", "address", "contacts")]
+    parts = [fx.relation(spark, sf_dir, RELATIONS[e]).withColumn("entity", F.lit(e)) for e in RELATIONS]
     strings = [p.select(*[F.col(c).cast("string") if c != "created_ts" else F.col(c) for c in p.columns]) for p in parts]
     return matching.silver(setops.union_by_name(*strings)).groupBy("entity", "silver_type").agg(F.count("*").alias("n"))
 
@@ -509,22 +574,25 @@ def audit_summary(spark, sf_dir):
 # ---------------------------------------------------------------- the four jobs, end to end
 
 MEDALLION = f"""
-WITH people AS (SELECT * FROM ({fx.oracle(fx.PEOPLE)}) WHERE source_system <> 'Other'),
+WITH people AS ({fx.oracle(fx.PEOPLE)}),
 bronze AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_system, email, phone ORDER BY customer_id NULLS LAST) AS rn FROM people) WHERE rn = 1)
 SELECT customer_id, first_name, last_name, lower(source_system) AS source_system, created_ts FROM (
   SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY first_name, last_name ORDER BY {PRIORITY_SQL}, created_ts DESC NULLS LAST, customer_id) AS rn FROM bronze) WHERE rn = 1"""
 MEDALLION_FIELDS = [{"name": "customer_id", "type": "long", "natural_key": True}, *({"name": c, "type": "string"} for c in ("first_name", "last_name", "email", "phone", "address_line1", "city", "state", "postal_code")), {"name": "date_of_birth", "type": "date"}, {"name": "created_ts", "type": "date"}]
-SYSTEMS = ("CRM", "ERP", "Salesforce", "SAP")
+SYSTEMS = ("CRM", "ERP", "Salesforce", "SAP", "Other")
 
 
-def medallion_config(spark: SparkSession, sf_dir: str, root: str):
+def medallion_config(spark: SparkSession, sf_dir: str, root: str, broken: bool = False):
     people = fx.relation(spark, sf_dir, fx.PEOPLE).drop("address_line2")
     sources = []
     for name in SYSTEMS:
         path = f"{root}/source/{name}"
         people.where(F.col("source_system") == name).drop("source_system").withColumnRenamed("customer_id", " Cust_ID").write.csv(path, header=True)
         sources.append({"name": name, "path": path, "entity": "customer", "dedupe_keys": ["email", "phone"], "similarity_threshold": 95})
-    return config_from({"root": root, "sources": sources, "schemas": {f"{n}_customer".lower(): {"fields": MEDALLION_FIELDS} for n in SYSTEMS}})
+    names = [*SYSTEMS, "Broken"] if broken else SYSTEMS
+    if broken:
+        sources.append({"name": "Broken", "path": f"{root}/source/not-there", "entity": "customer", "dedupe_keys": ["email", "phone"]})
+    return config_from({"root": root, "sources": sources, "schemas": {f"{n}_customer".lower(): {"fields": MEDALLION_FIELDS} for n in names}})
 
 
 @query(MEDALLION)
@@ -538,3 +606,163 @@ def medallion_gold(spark, sf_dir):
     return gold.select("customer_id", "first_name", "last_name", "source_system", F.col("created_ts").cast(T.DateType()).alias("created_ts"))
 
 
+
+
+# ---------------------------------------------------------------- what the jobs leave behind
+
+PEOPLE_ROWS = f"""
+people AS ({fx.oracle(fx.PEOPLE)}),
+bronze AS (SELECT *, row_number() OVER (PARTITION BY source_system, email, phone ORDER BY customer_id) AS rn FROM people),
+loads AS (SELECT lower(source_system || '_customer') AS target, source_system, count(*) AS incoming, count(*) FILTER (rn = 1) AS main, count(*) FILTER (rn > 1) AS conflicted FROM bronze GROUP BY source_system)"""
+
+
+@query(f"""
+WITH {PEOPLE_ROWS},
+steps AS (
+  SELECT 'raw_ingestion' AS job, target, 'INITIALIZE' AS load_type, 'SUCCESS' AS status, incoming, incoming AS inserted, 0 AS conflicted FROM loads
+  UNION ALL SELECT 'raw_ingestion', 'broken_customer', 'FAILED', 'FAILED', 0, 0, 0
+  UNION ALL SELECT 'deduplication', target, 'DEDUP', 'SUCCESS', incoming, main, conflicted FROM loads
+  UNION ALL SELECT 'deduplication', 'broken_customer', 'FAILED', 'FAILED', 0, 0, 0),
+audit AS (SELECT * FROM steps UNION ALL SELECT job, 'JOB_SUMMARY', 'SUMMARY', 'FAILED', CAST(sum(incoming) AS BIGINT), CAST(sum(inserted) AS BIGINT), CAST(sum(conflicted) AS BIGINT) FROM steps GROUP BY job)
+SELECT 'audit' AS record, job, target, load_type, status, incoming, inserted, conflicted FROM audit
+UNION ALL SELECT 'error', job, 'Broken', NULL, NULL, NULL, NULL, NULL FROM steps WHERE status = 'FAILED'
+UNION ALL SELECT 'lineage', job, lower(replace(target, '_customer', '')), load_type, NULL, NULL, NULL, NULL FROM steps WHERE status <> 'FAILED'""")
+def run_records(spark, sf_dir):
+    """Audit, error and lineage rows of an ingestion and a deduplication with a source that can't be read."""
+    root = scratch(spark, "records")
+    config = medallion_config(spark, sf_dir, root, broken=True)
+    runs = {r.run_id: r.job_name for r in (jobs.ingest(spark, config), jobs.bronze(spark, config))}
+    job = F.create_map(*[F.lit(x) for pair in runs.items() for x in pair])[F.col("run_id")]
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("incoming", "inserted", "conflicted")]
+    system = {n: Table(spark, config.path("system", n)).read().withColumn("job", job) for n in ("audit", "error", "lineage")}
+    audit = system["audit"].select(F.lit("audit").alias("record"), "job", F.col("target"), "load_type", "status", F.col("records_incoming").alias("incoming"), F.col("records_inserted").alias("inserted"), F.col("records_conflicted").alias("conflicted"))
+    error = system["error"].select(F.lit("error").alias("record"), "job", F.col("source_system").alias("target"), F.lit(None).cast("string").alias("load_type"), F.lit(None).cast("string").alias("status"), *nothing)
+    lineage = system["lineage"].select(F.lit("lineage").alias("record"), "job", F.lower("source_system").alias("target"), "load_type", F.lit(None).cast("string").alias("status"), *nothing)
+    return audit.unionByName(error).unionByName(lineage)
+
+
+@query(f"""
+WITH {PEOPLE_ROWS},
+passed AS (SELECT * FROM bronze WHERE rn = 1 AND customer_id % 11 <> 0)
+SELECT 'customer' AS entity, count(*) AS input_count, count(DISTINCT (first_name, last_name)) AS output_count, (SELECT count(*) FROM bronze WHERE rn = 1 AND customer_id % 11 = 0) AS rejected FROM passed""")
+def gold_counts(spark, sf_dir):
+    """The gold job's summary, and what silver's quality check kept from it; the sources lack some telephones."""
+    root = scratch(spark, "gold-counts")
+    config = medallion_config(spark, sf_dir, root)
+    jobs.ingest(spark, config)
+    jobs.bronze(spark, config)
+    for source in config.sources:
+        bronze = jobs.bronze_table(spark, config, source)
+        bronze.overwrite(bronze.read().withColumn("phone", F.when(F.col("customer_id").cast("long") % 11 != 0, F.col("phone"))), jobs.BRONZE_LAYOUT)
+    jobs.silver(spark, config)
+    rejected = Table(spark, config.path("system", "dq")).read().agg(F.sum("records_rejected").alias("rejected"))
+    return jobs.gold_summary(jobs.gold(spark, config)).withColumn("rejected", F.lit(rejected.first()[0]))
+
+
+T1, T2, T3 = ("2024-05-01T00:00:00+00:00", "2024-05-02T00:00:00+00:00", "2024-05-03T00:00:00+00:00")
+
+
+def _two_loads(spark: SparkSession, sf_dir: str, label: str):
+    """A lake whose one source has even ids on the first day and all ids on the second."""
+    from datetime import datetime
+
+    root = scratch(spark, label)
+    people = fx.relation(spark, sf_dir, fx.PEOPLE).drop("address_line2", "source_system").withColumnRenamed("customer_id", " Cust_ID")
+    people.where(F.col(" Cust_ID") % 2 == 0).write.csv(f"{root}/day1", header=True)
+    people.write.csv(f"{root}/day2", header=True)
+    schema = {"crm_customer": {"fields": MEDALLION_FIELDS}}
+    day = lambda n: config_from({"root": root, "sources": [{"name": "CRM", "path": f"{root}/day{n}", "entity": "customer", "dedupe_keys": ["email", "phone"]}], "schemas": schema})
+    return day, [datetime.fromisoformat(t) for t in (T1, T2, T3)]
+
+
+INCREMENTAL = f"""
+WITH people AS ({fx.oracle(fx.PEOPLE)}),
+batches AS (SELECT customer_id, email, phone, CASE WHEN customer_id % 2 = 0 THEN 1 ELSE 2 END AS batch FROM people {{again}})
+SELECT customer_id, batch, CASE WHEN row_number() OVER (PARTITION BY email, phone, batch ORDER BY customer_id) = 1 THEN 'MAIN' ELSE 'CONFLICTED' END AS bronze_type FROM batches"""
+
+
+def _incremental(spark: SparkSession, sf_dir: str, label: str, change_column: str) -> DataFrame:
+    day, (t1, t2, t3) = _two_loads(spark, sf_dir, label)
+    for n, at in ((1, t1), (2, t2)):
+        jobs.ingest(spark, day(n), at=at)
+        jobs.bronze(spark, day(n), change_column=change_column, at=at)
+    jobs.bronze(spark, day(2), change_column=change_column, at=t3)  # nothing is new
+    table = jobs.bronze_table(spark, day(2), day(2).sources[0]).read()
+    return table.select("customer_id", F.dayofmonth("dedupe_ts").alias("batch"), "bronze_type")
+
+
+@query(INCREMENTAL.replace("{again}", ""))
+def incremental_bronze(spark, sf_dir):
+    """Bronze after two days: each row is seen once, on the day it first came."""
+    return _incremental(spark, sf_dir, "incremental", "ingestion_ts")
+
+
+@query(INCREMENTAL.replace("{again}", "UNION ALL SELECT customer_id, email, phone, 2 FROM people WHERE customer_id % 2 = 0"))
+def incremental_updates(spark, sf_dir):
+    """Bronze by update time: rows that the second load touched are seen again."""
+    return _incremental(spark, sf_dir, "updates", "updated_ts")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS total, count(*) FILTER (c_custkey % 2 = 0) AS even FROM customer)
+SELECT * FROM (VALUES (1, 'raw_ingestion', 'INITIALIZE', NULL), (2, 'deduplication', 'DEDUP', 1), (3, 'deduplication', 'NO_NEW', 1), (4, 'raw_ingestion', 'MERGE', 1), (5, 'deduplication', 'DEDUP', 2),
+  (6, 'deduplication', 'DEDUP', 2), (7, 'raw_ingestion', 'INITIALIZE', 2)) steps(step, job, load_type, seen_day),
+  LATERAL (SELECT CASE step WHEN 1 THEN even WHEN 2 THEN even WHEN 3 THEN 0 WHEN 4 THEN total WHEN 5 THEN total - even ELSE total END AS incoming FROM n)""")
+def load_types(spark, sf_dir):
+    """Every load type in one history, with the checkpoint after each step; step 6 follows a reset of checkpoints, 7 is a reset load."""
+    from dataclasses import replace
+
+    day, (t1, t2, _) = _two_loads(spark, sf_dir, "load-types")
+    source, out = day(1).sources[0], []
+
+    def note(run) -> None:
+        seen = jobs.last_checkpoint(spark, day(1), source)
+        o = run.outcomes[0]
+        out.append((len(out) + 1, run.job_name, o.load_type, None if seen is None else seen.day, o.incoming))
+
+    note(jobs.ingest(spark, day(1), at=t1))
+    note(jobs.bronze(spark, day(1), at=t1))
+    note(jobs.bronze(spark, day(1), at=t1))
+    note(jobs.ingest(spark, day(2), at=t2))
+    note(jobs.bronze(spark, day(2), at=t2))
+    jobs.reset_checkpoints(spark, day(2))
+    note(jobs.bronze(spark, day(2), at=t2))
+    note(jobs.ingest(spark, replace(day(2), reset_mode=True), at=t2))
+    return spark.createDataFrame(out, "step int, job string, load_type string, seen_day int, incoming long")
+
+
+@query(f"""
+WITH {PEOPLE_ROWS}
+SELECT 'skip' AS missing, (SELECT count(*) FROM bronze WHERE rn = 1 AND source_system IN ('CRM', 'ERP')) AS n, '' AS refused
+UNION ALL SELECT 'error', NULL, 'no bronze table of salesforce_customer'""")
+def union_strict(spark, sf_dir):
+    """The union of all sources' bronze where two of the sources have none: skipped, or an error."""
+    root = scratch(spark, "strict")
+    config = medallion_config(spark, sf_dir, root)
+    for name in ("CRM", "ERP"):
+        jobs.ingest(spark, config, only=name)
+        jobs.bronze(spark, config, only=name)
+    rows = [("skip", jobs.bronze_union(spark, config).count(), "")]
+    try:
+        jobs.bronze_union(spark, config, missing="error")
+    except NoSuchTable as error:
+        rows.append(("error", None, str(error)))
+    return spark.createDataFrame(rows, "missing string, n long, refused string")
+
+
+@query("""
+WITH first AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'),
+late AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00' OR (ts >= TIMESTAMP '2024-01-12 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00'))
+SELECT DISTINCT user_id, event_type FROM (SELECT * FROM first UNION ALL SELECT * FROM late WHERE ts > (SELECT max(ts) - INTERVAL 10 MINUTE FROM first))""")
+def stream_late_rows(spark, sf_dir):
+    """A stream of two days, stopped and started again with the next day and all before: rows before its watermark are late and dropped."""
+    root = scratch(spark, "late")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-12")
+    after = (F.col("ts") < "2024-01-10") | ((F.col("ts") >= "2024-01-12") & (F.col("ts") < "2024-01-13"))
+    for rows in (events.where(first), events.where(after)):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = read_stream(spark, f"{root}/in", events.schema)
+        unique = streaming.first_arrivals(stream, EVENT_KEYS, "ts")
+        streaming.write_to_store(unique, f"{root}/out", f"{root}/checkpoint", "late", available_now=True).awaitTermination()
+    return Table(spark, f"{root}/out").read().select("user_id", "event_type")

@@ -27,6 +27,7 @@ from keelson.plans.audit import Outcome, Run, now
 from keelson.sources.readers import read_source
 from keelson.sources.store import NoSuchTable, Table
 
+# The load types of run records.
 INITIALIZE, MERGE, DEDUP, NO_NEW = "INITIALIZE", "MERGE", "DEDUP", "NO_NEW"
 SILVER_TYPE, GOLD_TYPE = "GLOBAL_SURVIVORSHIP+SIMILARITY", "GLOBAL_GOLD_SSOT"
 
@@ -287,6 +288,6 @@ def gold_summary(run: Run) -> DataFrame:
     return run.spark.createDataFrame([(o.target, o.incoming, o.inserted) for o in run.outcomes if o.load_type == GOLD_TYPE], "entity string, input_count long, output_count long")
 
 
-def run_all(spark: SparkSession, config: Config, **options) -> list[Run]:
+def run_all(spark: SparkSession, config: Config, change_column: str = "ingestion_ts") -> list[Run]:
     """The four jobs in order."""
-    return [ingest(spark, config), bronze(spark, config, change_column=options.get("change_column", "ingestion_ts")), silver(spark, config), gold(spark, config)]
+    return [ingest(spark, config), bronze(spark, config, change_column=change_column), silver(spark, config), gold(spark, config)]

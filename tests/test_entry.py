@@ -32,3 +32,9 @@ import __spark_entry__ as e
 assert e.queries()["similarity_ratio"](s, "/root/testdata/sf0.001").count() > 0
 """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=180)
+
+
+def test_a_missing_library_is_an_error_not_a_missing_operator():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120)
+    assert done.returncode != 0 and "xxhash" in done.stderr

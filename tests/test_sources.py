@@ -47,10 +47,11 @@ def test_api_by_python_data_source(spark, tmp_path):
     assert [tuple(r) for r in one(spark, tmp_path, {"type": "api", "format": "test_api"}).collect()] == [(1, "x")]
 
 
-def test_config(tmp_path, monkeypatch):
+def test_config(spark, tmp_path, monkeypatch):
     body = {"root": "/lake/", "sources": [{"name": "CRM", "path": "p", "entity": "customer", "similarity_threshold": 95}], "paths": {"raw_crm_customer": "/elsewhere"}}
     (tmp_path / "c.json").write_text(json.dumps(body))
     c = config.load(str(tmp_path / "c.json"))
+    assert config.load(f"file://{tmp_path}/c.json", spark) == config.load(str(tmp_path / "c.json"), spark) == c
     assert c.path("raw", "CRM", "customer") == "/elsewhere" and c.path("gold", "Customer") == "/lake/gold/customer"
     assert c.sources[0].dedupe_keys == ("customer_id",)
     assert (c.threshold("CUSTOMER", "crm"), c.threshold("customer", "x"), c.threshold("customer", None)) == (95, 80, 80)
