@@ -17,10 +17,16 @@ go to the same grid at one bit to a segment, where the embedding is the
 fingerprint itself, a cell has 65 visitors at most, and any two of them differ in
 two bits or fewer.  So a group of near copies of any size costs rows in
 proportion to its fingerprints, never to their pairs.
+
+``keep_one``, for pipelines, asks for near copies by the Jaccard similarity of
+five-word shingles.  Its fingerprints are of words, several for each text; they
+meet in the same grid, and every candidate pair is verified on whole texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import components
+from keelson.llm.bloom import bloom_filter, bloom_holds
 from keelson.llm.scratch import materialize, small_batches
 from keelson.llm.words import HASH_SEED
 
@@ -38,6 +45,8 @@ CHUNK = 65536
 RADIUS = 2
 #: Cells of more visitors are split at one bit to a segment.
 PAIRS_CELL = 64
+#: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
+SIMILAR_WORDS, SIMILARITY, TABLES = 5, 0.8, 4
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -89,17 +98,19 @@ def _segment_counts(fp: Column) -> list[Column]:
 
 #: What a visit to a cell at distance 1 adds to the vector's number: a step along a coordinate.
 STEPS = [(SEGMENT_BITS + 3) ** i for i in range(SEGMENTS)]
+#: Vectors of fingerprint table t have numbers from t times this on; a long has room for 70 tables.
+TABLE_STEP = (SEGMENT_BITS + 3) ** SEGMENTS
 
 
-def embedded(distinct: DataFrame) -> DataFrame:
-    """(fp, home): the number of the fingerprint's vector.
+def embedded(points: DataFrame) -> DataFrame:
+    """(node, t, fp, home): the number of the fingerprint's vector, in the range of its table t.
 
     A coordinate is 0 to 3 and a neighbour's -1 to 4; shifted by one and written in
     base 6 the 22 coordinates fit a long.  A step off a visited cell that leaves -1
     to 4 carries into the next digit and leaves 0 or 5 behind, which no vector has."""
     counts = _segment_counts(F.col("fp"))
     home = sum(((c + F.lit(1)) * F.lit(x) for c, x in zip(counts, STEPS, strict=True)), F.lit(0).cast("long"))
-    return distinct.select("fp", home.alias("home"))
+    return points.select("node", "t", "fp", (home + F.col("t") * F.lit(TABLE_STEP)).alias("home"))
 
 
 def _moves() -> Column:
@@ -107,39 +118,49 @@ def _moves() -> Column:
 
 
 def visits(homes: DataFrame) -> DataFrame:
-    """(fp, cell): the grid cells within Manhattan distance 1 of each vector."""
-    return homes.select("fp", "home", F.explode(_moves()).alias("move")).select("fp", (F.col("home") + F.col("move")).alias("cell"))
+    """(node, cell): the grid cells within Manhattan distance 1 of each vector."""
+    return homes.select("node", "home", F.explode(_moves()).alias("move")).select("node", (F.col("home") + F.col("move")).alias("cell"))
 
 
-def bit_cells(fps: DataFrame) -> DataFrame:
-    """(fp, cell): the fingerprint and its 64 one-bit neighbours, the grid at one bit to a segment."""
+def bit_cells(points: DataFrame) -> DataFrame:
+    """``points`` with cell: the fingerprint and its 64 one-bit neighbours, the grid at one bit to a segment."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(BITS)])
-    return fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("cell"))
+    return points.select("*", F.explode(flips).alias("flip")).withColumn("cell", F.col("fp").bitwiseXOR(F.col("flip"))).drop("flip")
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (src, dst) whose components are those of all links at RADIUS or fewer bits.
+def candidates(points: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints in a table are within Manhattan distance
+    RADIUS; in split cells enough of those within Hamming distance RADIUS to reach all.
 
-    ``distinct``: one row for each fingerprint (column fp).  Between fingerprints
-    that meet in no split cell every link is an edge."""
-    homes = embedded(distinct)
-    met = visits(homes).groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1")
+    ``points``: (node, t, fp), one row for each node and table t of fingerprints."""
+    homes = embedded(points)
+    met = visits(homes).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("dst"), F.max("node").alias("src")).where("n > 1")
     met = materialize(met, "simhash-cells")
-    twos = met.where("n = 2").select("src", "dst").where(hamming(F.col("src"), F.col("dst")) <= RADIUS)
+    twos = met.where("n = 2").select("src", "dst")
     around = met.where("n > 2").select("cell", "n", F.explode(_moves()).alias("move")).withColumn("at", F.col("cell") - F.col("move"))
-    crowd = materialize(around.join(homes, F.col("at") == F.col("home")).select("cell", "n", "fp", "move"), "simhash-crowds")
-    left, right = (crowd.where(F.col("n") <= PAIRS_CELL).select("cell", F.col("fp").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
+    crowd = materialize(around.join(homes, F.col("at") == F.col("home")).select("cell", "n", "move", "node", "t", "fp"), "simhash-crowds")
+    left, right = (crowd.where(F.col("n") <= PAIRS_CELL).select("cell", F.col("node").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
     # visitors with one vector share all their cells: their pair counts at home alone
-    pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst").where(hamming(F.col("src"), F.col("dst")) <= RADIUS)
-    split = bit_cells(crowd.where(F.col("n") > PAIRS_CELL).select("fp").distinct()).groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    starred = split.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst")).where("src <> dst")
+    pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst")
+    split = bit_cells(crowd.where(F.col("n") > PAIRS_CELL).select("node", "t", "fp").distinct())
+    first = split.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
+    starred = split.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
     return twos.unionByName(pairs).unionByName(starred).distinct()
 
 
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (src, dst) whose components are those of all links at RADIUS or fewer bits.
+
+    ``distinct``: one row for each fingerprint (column fp).  Between fingerprints
+    that meet in no split cell every link is an edge."""
+    found = candidates(distinct.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("t"), "fp"))
+    return found.where(hamming(F.col("src"), F.col("dst")) <= RADIUS)
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, content, fp, root, component) for every row: root, the least fingerprint
     reachable, names the group; component is the least id in it."""
@@ -166,14 +187,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(docs, id_col, text_col, width).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate group: the one
-    with the smallest id stays (one with a NULL id only where a group has no other).
+# ---------------------------------------------------------------- near copies by similarity
+
+
+def word_fingerprints(data: bytes | None, tables: int = TABLES) -> np.ndarray:
+    """``tables`` signed 64-bit SimHashes of the words, each counting as the bits of its frequency's number.
+
+    Single words, as an edit changes one of them but five five-word shingles: at a
+    similarity of 0.8 the fingerprints of shingles are some ten bits apart."""
+    times = Counter(data.lower().split()) if data else {}
+    if not times:
+        return np.zeros(tables, np.int64)
+    width = -(-tables // 2)
+    digests = b"".join(xxhash.xxh3_128_digest(w, HASH_SEED + k) for w in times for k in range(width))
+    weight = np.fromiter((n.bit_length() for n in times.values()), np.int64, len(times))
+    rows = np.frombuffer(digests, np.uint8).reshape(len(times), 16 * width)
+    counts = np.zeros(128 * width, np.int64)
+    for i in range(0, len(rows), CHUNK // 16):
+        counts += weight[i : i + CHUNK // 16] @ np.unpackbits(rows[i : i + CHUNK // 16], axis=1)
+    return np.packbits(2 * counts > weight.sum()).view(np.int64)[:tables]
+
+
+def shingles(data: bytes | None, width: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct signed hashes of ``width``-word shingles; of the whole sequence if there are fewer words."""
+    words = data.lower().split() if data else []
+    if not words:
+        return np.zeros(0, np.int64)
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), HASH_SEED) for i in range(max(1, len(words) - width + 1))}
+    return np.fromiter(found, np.uint64, len(found)).view(np.int64)
+
+
+def _word_prints(tables: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            flat = np.concatenate([word_fingerprints(x, tables) for x in texts]) if texts else np.zeros(0, np.int64)
+            yield pa.record_batch([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), tables).cast(pa.list_(pa.int64()))], ["row", "fps"])
+
+    return run
+
+
+def _wanted_shingles(bloom, width: int):
+    def run(batches):
+        bits = np.frombuffer(bloom.value, np.uint8)
+        for batch in batches:
+            content = batch.column(0).to_numpy()
+            mine = pa.array(np.flatnonzero(bloom_holds(bits, content)))
+            found = [shingles(x, width) for x in batch.column(1).take(mine).cast(pa.binary()).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.record_batch([batch.column(0).take(mine), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["content", "shingles"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, content, root) for every row: root names the group of texts that links of
+    ``similarity`` or more join.
+
+    A link is a pair of texts that meet in the popcount grid of one of ``tables``
+    word fingerprints and have so much in common by the exact Jaccard similarity of
+    their ``width``-word shingles.  Equal texts are one node, so copies are never
+    paired.  Only nodes of candidate pairs have their shingles made, chosen by a
+    Bloom filter of bounded size, and no text is shuffled."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), content_of(text).alias("content")).alias("row"), text.alias("text"))
+    prints = keyed.mapInArrow(_word_prints(tables), f"row struct<id:{kind},content:bigint>, fps array<bigint>").select("row.id", "row.content", "fps")
+    prints = materialize(prints, "word-prints")
+    nodes = prints.groupBy(F.col("content").alias("node")).agg(F.first("fps").alias("fps"))
+    points = materialize(nodes.select("node", F.posexplode("fps").alias("t", "fp")).select("node", F.col("t").cast("long").alias("t"), "fp"), "word-points")
+    pairs = materialize(candidates(points), "similar-candidates")
+    wanted = bloom_filter(pairs.select(F.explode(F.array("src", "dst")).alias("h")).distinct())
+    bags = keyed.select("row.content", "text").mapInArrow(_wanted_shingles(wanted, width), "content bigint, shingles array<bigint>")
+    bags = materialize(bags.groupBy("content").agg(F.first("shingles").alias("shingles")), "similar-shingles")
+    a, b = (bags.select(F.col("content").alias(name), F.col("shingles").alias(f"{name}_bag")) for name in ("src", "dst"))
+    common = F.size(F.array_intersect("src_bag", "dst_bag"))
+    alike = common >= F.lit(similarity) * (F.size("src_bag") + F.size("dst_bag") - common)
+    edges = materialize(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "dst"), "similar-links")
+    labels = materialize(components.connected_components(edges), "similar-labels")
+    return prints.join(labels, prints["content"] == labels["node"], "left").select("id", "content", F.coalesce("label", "content").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without all but one document of each group of near copies (similar_groups):
+    the one with the smallest id stays (one with a NULL id only where a group has no
+    other).
 
     A document is a pair of id and text: several texts of one id are several
-    documents, and of repeated rows one stays.
+    documents, and of repeated rows one stays.  Texts without words are alike.  Texts
+    of any length are read whole; an empty table gives an empty result; columns may
+    have any names.
     """
-    each = grouped(docs, id_col, text_col, width).groupBy("root", "id", "content").agg(F.count("*").alias("rows"))
+    each = similar_groups(docs, id_col, text_col, **options).groupBy("root", "id", "content").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "rows")).alias("head")
     heads = materialize(each.groupBy("root").agg(first).select(F.col("head.id").alias("__head"), F.col("head.content").alias("__content"), F.col("head.rows").alias("__rows")), "simhash-heads")
     heads, named = heads.alias("head"), docs.alias("doc")

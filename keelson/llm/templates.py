@@ -15,9 +15,8 @@ other values, and one consistent occurrence is enough.  A long passage of an ite
 is enough too: RUN windows in a row with consistent slots, 15 words or more.
 
 Before the join, documents drop the windows that cannot match by a Bloom filter
-over the benchmark's windows.  It has BITS_A_WINDOW bits for each of them, within
-fixed bounds, so what is broadcast is at most MOST_BITS; a benchmark beyond that
-only lets more windows through to the join, which is exact.
+over the benchmark's windows.  Its size is bounded; a benchmark beyond that only
+lets more windows through to the join, which is exact.
 
 A window that many items and many documents share would join to all their pairs.
 So pairs are first met by an item's telling windows alone: its rarest ones, one
@@ -41,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from keelson.llm.bloom import bloom_filter, bloom_holds
 from keelson.llm.scratch import materialize, small_batches
 from keelson.llm.words import HASH_SEED
 
@@ -48,8 +48,6 @@ WIDTH = 5
 COVERAGE = 0.8
 AGREEMENT = 0.8
 LEAST_LITERALS = 3
-BITS_A_WINDOW = 16
-LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Windows in a row that make a passage of an item: 15 words.
 RUN = 11
 #: How far the windows of one occurrence may be moved against each other, as a share of the item's windows.
@@ -96,11 +94,6 @@ def windows(tokens: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n).view(np.int64)
 
 
-def _spots(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    return (u & np.uint64(n_bits - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(n_bits - 1)).astype(np.int64)
-
-
 def placed_windows(text: str | None, width: int, least_literals: int, wanted=None):
     """(position, hash, slots) of the windows of a text, those with names in both forms,
     that have enough literal tokens and whose hashes ``wanted`` (hashes to positions) picks."""
@@ -127,8 +120,7 @@ def _window_rows(width: int, least_literals: int, bloom):
             bits = np.frombuffer(bloom.value, np.uint8)
 
             def wanted(h):
-                x, y = _spots(h, 8 * len(bits))
-                return np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1).tolist()
+                return np.flatnonzero(bloom_holds(bits, h)).tolist()
 
         for batch in batches:
             at, places, hs, slots = [], [], [], []
@@ -156,23 +148,6 @@ def _explode_windows(df: DataFrame, id_col: str, text_col: str, width: int, leas
     return rows.mapInArrow(_window_rows(width, least_literals, bloom), schema)
 
 
-def _bloom(hashes: DataFrame):
-    """A broadcast Bloom filter over column h; the driver gets at most two longs for 64 of its bits."""
-    spark = hashes.sparkSession
-    n_bits = LEAST_BITS
-    wished = min(MOST_BITS, BITS_A_WINDOW * hashes.count())
-    while n_bits < wished:
-        n_bits *= 2
-    low = F.col("h").bitwiseAND(F.lit(n_bits - 1))
-    high = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(n_bits - 1))
-    spots = hashes.select(F.explode(F.array(low, high)).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-    found = words.toArrow()
-    filled = np.zeros(n_bits // 64, np.int64)
-    filled[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return spark.sparkContext.broadcast(filled.tobytes())
-
-
 def _telling(items: DataFrame, needed: DataFrame, coverage: float, run: int) -> DataFrame:
     """(item, h) of the windows by which pairs are met: of any ``coverage`` of an item's
     windows, and of any ``run`` in a row, at least one is among them."""
@@ -310,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = materialize(_explode_windows(benchmark, item_col, item_text_col, width, least_literals, None).distinct(), "benchmark-windows")
     needed = items.groupBy("row").agg(F.count_distinct("pos").alias("item_windows"))
-    hits = _explode_windows(docs, id_col, text_col, width, least_literals, _bloom(items.select("h").distinct())).drop("pos")
+    hits = _explode_windows(docs, id_col, text_col, width, least_literals, bloom_filter(items.select("h").distinct())).drop("pos")
     hits = materialize(hits, "document-windows")
     candidates = hits.select("row", "h").distinct().join(materialize(_telling(items, needed, coverage, run), "telling-windows"), "h")
     candidates = materialize(candidates.select("row", "item").distinct(), "candidate-pairs")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keelson.llm import line_quality, scratch, source_mix
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_similar
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             passed[i] = r | {"text": text.decode(), "n_chars": len(text.decode())}
     assert {r["doc_id"]: r for r in out["quality_rules"]} == passed
 
-    comps = brute_components({i: brute_fingerprint(r["text"]) for i, r in passed.items()})
+    comps = brute_similar({i: r["text"] for i, r in passed.items()})
     single = {i: passed[i] for i in set(comps.values())}
     assert {r["doc_id"]: r for r in out["simhash_near_dedup"]} == single
 
