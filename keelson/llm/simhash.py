@@ -45,6 +45,8 @@ CHUNK = 65536
 RADIUS = 2
 #: Cells of more visitors are split at one bit to a segment.
 PAIRS_CELL = 64
+#: About so many visits are made in a task.
+VISITS_A_TASK = 4_000_000
 #: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
 SIMILAR_WORDS, SIMILARITY, TABLES = 5, 0.8, 4
 
@@ -137,16 +139,23 @@ def candidates(points: DataFrame) -> DataFrame:
     RADIUS; in split cells enough of those within Hamming distance RADIUS to reach all.
 
     ``points``: (node, t, fp), one row for each node and table t of fingerprints."""
+    spark = points.sparkSession
     homes = embedded(points)
+    tasks = -(-points.count() * (2 * SEGMENTS + 1) // VISITS_A_TASK)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        homes = homes.repartition(tasks, "node")  # a small file has many visits
     met = visits(homes).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("dst"), F.max("node").alias("src")).where("n > 1")
     met = materialize(met, "simhash-cells")
     twos = met.where("n = 2").select("src", "dst")
     around = met.where("n > 2").select("cell", "n", F.explode(_moves()).alias("move")).withColumn("at", F.col("cell") - F.col("move"))
-    crowd = materialize(around.join(homes, F.col("at") == F.col("home")).select("cell", "n", "move", "node", "t", "fp"), "simhash-crowds")
-    left, right = (crowd.where(F.col("n") <= PAIRS_CELL).select("cell", F.col("node").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
+    paired = around.where(F.col("n") <= PAIRS_CELL)
+    crowd = materialize(paired.join(homes, F.col("at") == F.col("home")).select("cell", "move", "node"), "simhash-crowds")
+    left, right = (crowd.select("cell", F.col("node").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
     # visitors with one vector share all their cells: their pair counts at home alone
     pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst")
-    split = bit_cells(crowd.where(F.col("n") > PAIRS_CELL).select("node", "t", "fp").distinct())
+    # each visitor of split cells once, however many of these it visits
+    hot = materialize(around.where(F.col("n") > PAIRS_CELL).select(F.col("at").alias("home")).distinct(), "simhash-hot")
+    split = bit_cells(homes.join(hot, "home", "left_semi").select("node", "t", "fp"))
     first = split.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
     starred = split.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
     return twos.unionByName(pairs).unionByName(starred).distinct()
