@@ -44,7 +44,7 @@ SEGMENTS = -(-BITS // SEGMENT_BITS)
 CHUNK = 65536
 RADIUS = 2
 #: Cells of more visitors are split at one bit to a segment.
-PAIRS_CELL = 64
+PAIRS_CELL = 16
 #: About so many visits are made in a task.
 VISITS_A_TASK = 4_000_000
 #: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
