@@ -44,11 +44,13 @@ SEGMENTS = -(-BITS // SEGMENT_BITS)
 CHUNK = 65536
 RADIUS = 2
 #: Cells of more visitors are split at one bit to a segment.
-PAIRS_CELL = 16
+PAIRS_CELL = 64
 #: About so many visits are made in a task.
 VISITS_A_TASK = 4_000_000
 #: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
 SIMILAR_WORDS, SIMILARITY, TABLES = 5, 0.8, 4
+#: In cells of more texts each is compared with two of them.
+SIMILAR_CELL = 16
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -134,11 +136,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def candidates(points: DataFrame) -> DataFrame:
+def candidates(points: DataFrame, most: int | None = None, split: bool = True) -> DataFrame:
     """Pairs (src, dst) of nodes whose fingerprints in a table are within Manhattan distance
-    RADIUS; in split cells enough of those within Hamming distance RADIUS to reach all.
+    RADIUS.  Cells of more than ``most`` visitors are split, with enough pairs within
+    Hamming distance RADIUS to reach all; or, without ``split``, each node whose vector
+    is such a cell is paired with the least and the greatest visitor of it.
 
     ``points``: (node, t, fp), one row for each node and table t of fingerprints."""
+    most = PAIRS_CELL if most is None else most
     spark = points.sparkSession
     homes = embedded(points)
     tasks = -(-points.count() * (2 * SEGMENTS + 1) // VISITS_A_TASK)
@@ -148,17 +153,23 @@ def candidates(points: DataFrame) -> DataFrame:
     met = materialize(met, "simhash-cells")
     twos = met.where("n = 2").select("src", "dst")
     around = met.where("n > 2").select("cell", "n", F.explode(_moves()).alias("move")).withColumn("at", F.col("cell") - F.col("move"))
-    paired = around.where(F.col("n") <= PAIRS_CELL)
-    crowd = materialize(paired.join(homes, F.col("at") == F.col("home")).select("cell", "move", "node"), "simhash-crowds")
+    crowd = around.where(F.col("n") <= most).join(homes, F.col("at") == F.col("home"))
+    crowd = materialize(crowd.select("cell", "move", "node"), "simhash-crowds")
     left, right = (crowd.select("cell", F.col("node").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
     # visitors with one vector share all their cells: their pair counts at home alone
     pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst")
-    # each visitor of split cells once, however many of these it visits
-    hot = materialize(around.where(F.col("n") > PAIRS_CELL).select(F.col("at").alias("home")).distinct(), "simhash-hot")
-    split = bit_cells(homes.join(hot, "home", "left_semi").select("node", "t", "fp"))
-    first = split.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starred = split.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
-    return twos.unionByName(pairs).unionByName(starred).distinct()
+    found = twos.unionByName(pairs)
+    if split:
+        # each visitor of split cells once, however many of these it visits
+        hot = materialize(around.where(F.col("n") > most).select(F.col("at").alias("home")).distinct(), "simhash-hot")
+        fine = bit_cells(homes.join(hot, "home", "left_semi").select("node", "t", "fp"))
+        first = fine.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
+        starred = fine.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
+    else:
+        hot = met.where(F.col("n") > most).select(F.col("cell").alias("home"), F.array("dst", "src").alias("ends"))
+        ends = homes.join(hot, "home").select("node", F.explode("ends").alias("end")).where("node <> end")
+        starred = ends.select(F.greatest("node", "end").alias("src"), F.least("node", "end").alias("dst"))
+    return found.unionByName(starred).distinct()
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -257,7 +268,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A link is a pair of texts that meet in the popcount grid of one of ``tables``
     word fingerprints and have so much in common by the exact Jaccard similarity of
     their ``width``-word shingles.  Equal texts are one node, so copies are never
-    paired.  Only nodes of candidate pairs have their shingles made, chosen by a
+    paired.  Of more than SIMILAR_CELL texts in a cell each is compared with two of
+    them, by each table, instead of with all.  Only nodes of candidate pairs have their shingles made, chosen by a
     Bloom filter of bounded size, and no text is shuffled."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -267,7 +279,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialize(prints, "word-prints")
     nodes = prints.groupBy(F.col("content").alias("node")).agg(F.first("fps").alias("fps"))
     points = materialize(nodes.select("node", F.posexplode("fps").alias("t", "fp")).select("node", F.col("t").cast("long").alias("t"), "fp"), "word-points")
-    pairs = materialize(candidates(points), "similar-candidates")
+    pairs = materialize(candidates(points, SIMILAR_CELL, split=False), "similar-candidates")
     wanted = bloom_filter(pairs.select(F.explode(F.array("src", "dst")).alias("h")).distinct())
     bags = keyed.select("row.content", "text").mapInArrow(_wanted_shingles(wanted, width), "content bigint, shingles array<bigint>")
     bags = materialize(bags.groupBy("content").agg(F.first("shingles").alias("shingles")), "similar-shingles")
