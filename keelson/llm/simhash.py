@@ -219,12 +219,16 @@ def word_fingerprints(data: bytes | None, tables: int = TABLES) -> np.ndarray:
     if not times:
         return np.zeros(tables, np.int64)
     width = -(-tables // 2)
-    digests = b"".join(xxhash.xxh3_128_digest(w, HASH_SEED + k) for w in times for k in range(width))
-    weight = np.fromiter((n.bit_length() for n in times.values()), np.int64, len(times))
+    digest = xxhash.xxh3_128_digest
+    digests = b"".join([digest(w, HASH_SEED + k) for w in times for k in range(width)])
+    weight = np.fromiter(map(int.bit_length, times.values()), np.int64, len(times))
     rows = np.frombuffer(digests, np.uint8).reshape(len(times), 16 * width)
     counts = np.zeros(128 * width, np.int64)
-    for i in range(0, len(rows), CHUNK // 16):
-        counts += weight[i : i + CHUNK // 16] @ np.unpackbits(rows[i : i + CHUNK // 16], axis=1)
+    for least in range(1, int(weight.max()) + 1):
+        # a word of weight w is counted w times: sums of bits are far faster than products of integers
+        mine = rows[weight >= least]
+        for i in range(0, len(mine), CHUNK // 16):
+            counts += np.unpackbits(mine[i : i + CHUNK // 16], axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * counts > weight.sum()).view(np.int64)[:tables]
 
 
