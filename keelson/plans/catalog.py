@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -253,11 +256,56 @@ def file_scans(spark, sf_dir):
     return setops.union_by_name(*parts)
 
 
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+def _sql_state(error: Py4JJavaError) -> str | None:
+    try:
+        return error.java_exception.getSQLState()
+    except Py4JError:  # not an SQLException
+        return None
+
+
+def derby_database(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """The JDBC URL of a new Derby database with ``df`` as table ``name``, to be read by any task.
+
+    An embedded database lives in one JVM, so that executors don't see the driver's.
+    The driver fills it, one row after another, and ships it as a jar, from which
+    Derby opens it for reading in every JVM.  The jar is kept until the driver ends."""
+    own = f"keelson{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._temp_dir}/{own}"
+    url = f"jdbc:derby:directory:{folder}/{own}"
+    # no rows: Spark makes the table, on the driver
+    spark.createDataFrame([], df.schema).write.format("jdbc").options(url=f"{url};create=true", dbtable=name, driver=DERBY).save()
+    manager = spark._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        columns = ", ".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+        insert = connection.prepareStatement(f"INSERT INTO {name} ({columns}) VALUES ({', '.join('?' * len(df.columns))})")
+        for row in df.toLocalIterator():
+            for i, value in enumerate(row, 1):
+                insert.setObject(i, value)
+            insert.executeUpdate()
+        connection.commit()
+    finally:
+        connection.close()
+    try:
+        manager.getConnection(f"{url};shutdown=true")
+    except Py4JJavaError as error:
+        if _sql_state(error) != "08006":  # how Derby says that it has shut down
+            raise
+    jar = shutil.make_archive(folder, "zip", folder)
+    shutil.rmtree(folder)
+    os.rename(jar, f"{folder}.jar")
+    spark.sql(f"ADD JAR '{folder}.jar'")
+    return f"jdbc:derby:classpath:{own}"
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def jdbc_scan(spark, sf_dir):
-    url = f"jdbc:derby:memory:keelson{uuid.uuid4().hex};create=true"
-    table(spark, sf_dir, "nation").write.format("jdbc").options(url=url, dbtable="nation", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
-    config = config_from({"root": "/", "sources": [{"name": "CRM", "entity": "nation"}], "connections": {"crm": {"type": "jdbc", "url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver"}}})
+    url = derby_database(spark, table(spark, sf_dir, "nation"), "nation")
+    config = config_from({"root": "/", "sources": [{"name": "CRM", "entity": "nation"}], "connections": {"crm": {"type": "jdbc", "url": url, "driver": DERBY}}})
     df = read_source(spark, config.sources[0], config)
     return df.toDF(*[c.lower() for c in df.columns])
 
