@@ -20,11 +20,14 @@ proportion to its fingerprints, never to their pairs.
 
 ``keep_one``, for pipelines, asks for near copies by the Jaccard similarity of
 five-word shingles.  Its fingerprints are of words, several for each text; they
-meet in the same grid, and every candidate pair is verified on whole texts.
+meet in the same grid, and every candidate pair is verified on whole texts.  In
+crowded cells the pairs are those that share one of their rarest shingles, which
+all that are alike do.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -49,8 +52,10 @@ PAIRS_CELL = 64
 VISITS_A_TASK = 4_000_000
 #: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
 SIMILAR_WORDS, SIMILARITY, TABLES = 5, 0.8, 4
-#: In cells of more texts each is compared with two of them.
+#: In cells of more texts each is compared with two of them, and then by its rarest shingles.
 SIMILAR_CELL = 16
+#: Shingles of such texts are counted in so many spots.
+COUNT_SPOTS = 1 << 21
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -136,14 +141,10 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def candidates(points: DataFrame, most: int | None = None, split: bool = True) -> DataFrame:
-    """Pairs (src, dst) of nodes whose fingerprints in a table are within Manhattan distance
-    RADIUS.  Cells of more than ``most`` visitors are split, with enough pairs within
-    Hamming distance RADIUS to reach all; or, without ``split``, each node whose vector
-    is such a cell is paired with the least and the greatest visitor of it.
-
-    ``points``: (node, t, fp), one row for each node and table t of fingerprints."""
-    most = PAIRS_CELL if most is None else most
+def meetings(points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(homes, met, around) of ``points`` (node, t, fp), one row for each node and table t of
+    fingerprints.  met: the cells that several visit, with their number n and the least and
+    greatest of them; around: the vectors (at) from which cells of n > 2 are visited."""
     spark = points.sparkSession
     homes = embedded(points)
     tasks = -(-points.count() * (2 * SEGMENTS + 1) // VISITS_A_TASK)
@@ -151,24 +152,39 @@ def candidates(points: DataFrame, most: int | None = None, split: bool = True) -
         homes = homes.repartition(tasks, "node")  # a small file has many visits
     met = visits(homes).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("dst"), F.max("node").alias("src")).where("n > 1")
     met = materialize(met, "simhash-cells")
-    twos = met.where("n = 2").select("src", "dst")
     around = met.where("n > 2").select("cell", "n", F.explode(_moves()).alias("move")).withColumn("at", F.col("cell") - F.col("move"))
+    return homes, met, around
+
+
+def paired(homes: DataFrame, met: DataFrame, around: DataFrame, most: int) -> DataFrame:
+    """All pairs (src, dst) of visitors of cells of at most ``most``."""
+    twos = met.where("n = 2").select("src", "dst")
     crowd = around.where(F.col("n") <= most).join(homes, F.col("at") == F.col("home"))
     crowd = materialize(crowd.select("cell", "move", "node"), "simhash-crowds")
     left, right = (crowd.select("cell", F.col("node").alias(name), F.col("move").alias(f"{name}_move")) for name in ("dst", "src"))
     # visitors with one vector share all their cells: their pair counts at home alone
     pairs = left.join(right, "cell").where("dst < src and (dst_move <> src_move or dst_move = 0)").select("src", "dst")
-    found = twos.unionByName(pairs)
-    if split:
-        # each visitor of split cells once, however many of these it visits
-        hot = materialize(around.where(F.col("n") > most).select(F.col("at").alias("home")).distinct(), "simhash-hot")
-        fine = bit_cells(homes.join(hot, "home", "left_semi").select("node", "t", "fp"))
-        first = fine.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
-        starred = fine.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
-    else:
-        hot = met.where(F.col("n") > most).select(F.col("cell").alias("home"), F.array("dst", "src").alias("ends"))
-        ends = homes.join(hot, "home").select("node", F.explode("ends").alias("end")).where("node <> end")
-        starred = ends.select(F.greatest("node", "end").alias("src"), F.least("node", "end").alias("dst"))
+    return twos.unionByName(pairs)
+
+
+def visitors(homes: DataFrame, around: DataFrame, most: int) -> DataFrame:
+    """``homes`` from which a cell of more than ``most`` visitors is visited, each once, however many of these it visits."""
+    hot = materialize(around.where(F.col("n") > most).select(F.col("at").alias("home")).distinct(), "simhash-hot")
+    return homes.join(hot, "home", "left_semi")
+
+
+def candidates(points: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints in a table are within Manhattan distance
+    RADIUS.  Cells of more than ``most`` visitors are split, with enough pairs within
+    Hamming distance RADIUS to reach all.
+
+    ``points``: (node, t, fp), one row for each node and table t of fingerprints."""
+    most = PAIRS_CELL if most is None else most
+    homes, met, around = meetings(points)
+    found = paired(homes, met, around, most)
+    fine = bit_cells(visitors(homes, around, most).select("node", "t", "fp"))
+    first = fine.groupBy("t", "cell").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
+    starred = fine.join(materialize(first, "simhash-split"), ["t", "cell"]).select(F.col("node").alias("src"), "dst").where("src <> dst")
     return found.unionByName(starred).distinct()
 
 
@@ -265,6 +281,84 @@ def _wanted_shingles(bloom, width: int):
     return run
 
 
+def shingle_counts(crowd: DataFrame):
+    """A broadcast of how many texts of ``crowd`` (column shingles) hold each shingle, added up in
+    COUNT_SPOTS spots by its hash."""
+
+    def run(batches):
+        for batch in batches:
+            spots = batch.column(0).flatten().to_numpy().view(np.uint64) & np.uint64(COUNT_SPOTS - 1)
+            spot, n = np.unique(spots.astype(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(spot), pa.array(n)], ["spot", "n"])
+
+    found = crowd.select("shingles").mapInArrow(run, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_SPOTS, np.uint32)
+    counts[found["spot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
+    return crowd.sparkSession.sparkContext.broadcast(counts.tobytes())
+
+
+def prefix(bag: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's shingles, so many that two texts of ``similarity`` or more share one of theirs.
+
+    All texts are put in one order, by count and hash, which may be any.  A text without
+    words has the shingle 0, so that these meet."""
+    if not len(bag):
+        return np.zeros(1, np.int64)
+    order = np.lexsort((bag, counts[bag.view(np.uint64) & np.uint64(len(counts) - 1)]))
+    return bag[order[: len(bag) - math.ceil(similarity * len(bag) - 1e-6) + 1]]
+
+
+def _prefixes(counts, similarity: float):
+    def run(batches):
+        often = np.frombuffer(counts.value, np.uint32)
+        for batch in batches:
+            bags, ends = batch.column(1).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(2).to_numpy())))
+            found = [prefix(bags[a:b], often, similarity) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            at = np.concatenate([np.arange(n) for n in lengths]) if len(found) else lengths
+            flat = np.concatenate(found) if found else lengths
+            nodes, sizes = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 2))
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (flat, nodes, sizes, at)], ["shingle", "node", "size", "at"])
+
+    return run
+
+
+def _alike(similarity: float) -> Column:
+    common = F.size(F.array_intersect("src_bag", "dst_bag"))
+    return common >= F.lit(similarity) * (F.size("src_bag") + F.size("dst_bag") - common)
+
+
+def crowded_links(crowd: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """``edges`` (src, dst) and so many more links between nodes of ``crowd`` (node, shingles,
+    homes) that all its links lie within their components.
+
+    Two texts as similar as that share one of their rarest shingles (``prefix``).  By each of
+    these a text is first compared with one other that has it; then all that share one and
+    are not in one component yet are compared."""
+    counts = shingle_counts(crowd)
+    sized = crowd.select("node", "shingles", F.size("shingles").cast("long").alias("size"))
+    prefixes = materialize(sized.mapInArrow(_prefixes(counts, similarity), "shingle bigint, node bigint, size bigint, at bigint"), "crowd-prefixes")
+    cells = lambda homes: F.flatten(F.transform(homes, lambda h: F.transform(_moves(), lambda m: h + m)))
+    for first in (True, False):
+        labels = materialize(components.connected_components(edges), "crowd-labels")
+        rooted = prefixes.join(labels, "node", "left").select("shingle", "node", "size", "at", F.coalesce("label", "node").alias("root"))
+        heads = rooted.groupBy("shingle").agg(F.min(F.struct("root", "node")).alias("head"), F.max("root").alias("last")).where("head.root < last")
+        rooted = materialize(rooted.join(heads.select("shingle", "head"), "shingle"), "crowd-rooted")
+        if first:
+            pairs = rooted.where("root <> head.root").select(F.greatest("node", "head.node").alias("src"), F.least("node", "head.node").alias("dst"))
+        else:
+            a, b = (rooted.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "size", "at")]) for name in ("src", "dst"))
+            # what comes after the first shingle in common has room for all that they must share
+            room = F.least(F.col("src_size") - F.col("src_at"), F.col("dst_size") - F.col("dst_at")) + F.lit(1e-6)
+            enough = room >= (F.col("src_size") + F.col("dst_size")) * F.lit(similarity / (1 + similarity))
+            pairs = a.join(b, "shingle").where("src_node > dst_node and src_root <> dst_root").where(enough).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+        pairs = materialize(pairs.distinct(), "crowd-candidates")
+        a, b = (crowd.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_bag"), F.col("homes").alias(f"{name}_homes")) for name in ("src", "dst"))
+        compared = pairs.join(a, "src").join(b, "dst").where(F.arrays_overlap(cells("src_homes"), cells("dst_homes"))).where(_alike(similarity))
+        edges = edges.unionByName(materialize(compared.select("src", "dst"), "crowd-links"))
+    return edges
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, content, root) for every row: root names the group of texts that links of
     ``similarity`` or more join.
@@ -272,9 +366,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A link is a pair of texts that meet in the popcount grid of one of ``tables``
     word fingerprints and have so much in common by the exact Jaccard similarity of
     their ``width``-word shingles.  Equal texts are one node, so copies are never
-    paired.  Of more than SIMILAR_CELL texts in a cell each is compared with two of
-    them, by each table, instead of with all.  Only nodes of candidate pairs have their shingles made, chosen by a
-    Bloom filter of bounded size, and no text is shuffled."""
+    paired.  In cells of more than SIMILAR_CELL texts each is compared with two of them;
+    then ``crowded_links`` finds the links that are left there, so that groups don't depend
+    on the limit.  Only nodes of candidate pairs and of these cells have their shingles
+    made, chosen by a Bloom filter of bounded size, and no text is shuffled."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
@@ -283,14 +378,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialize(prints, "word-prints")
     nodes = prints.groupBy(F.col("content").alias("node")).agg(F.first("fps").alias("fps"))
     points = materialize(nodes.select("node", F.posexplode("fps").alias("t", "fp")).select("node", F.col("t").cast("long").alias("t"), "fp"), "word-points")
-    pairs = materialize(candidates(points, SIMILAR_CELL, split=False), "similar-candidates")
-    wanted = bloom_filter(pairs.select(F.explode(F.array("src", "dst")).alias("h")).distinct())
+    homes, met, around = meetings(points)
+    hot = met.where(F.col("n") > SIMILAR_CELL).select(F.col("cell").alias("home"), F.array("dst", "src").alias("ends"))
+    ends = homes.join(hot, "home").select("node", F.explode("ends").alias("end")).where("node <> end")
+    starred = ends.select(F.greatest("node", "end").alias("src"), F.least("node", "end").alias("dst"))
+    pairs = materialize(paired(homes, met, around, SIMILAR_CELL).unionByName(starred).distinct(), "similar-candidates")
+    crowd = materialize(visitors(homes, around, SIMILAR_CELL).select("node").distinct(), "similar-crowd")
+    wanted = bloom_filter(pairs.select(F.explode(F.array("src", "dst")).alias("h")).union(crowd).distinct())
     bags = keyed.select("row.content", "text").mapInArrow(_wanted_shingles(wanted, width), "content bigint, shingles array<bigint>")
     bags = materialize(bags.groupBy("content").agg(F.first("shingles").alias("shingles")), "similar-shingles")
     a, b = (bags.select(F.col("content").alias(name), F.col("shingles").alias(f"{name}_bag")) for name in ("src", "dst"))
-    common = F.size(F.array_intersect("src_bag", "dst_bag"))
-    alike = common >= F.lit(similarity) * (F.size("src_bag") + F.size("dst_bag") - common)
-    edges = materialize(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "dst"), "similar-links")
+    edges = materialize(pairs.join(a, "src").join(b, "dst").where(_alike(similarity)).select("src", "dst"), "similar-links")
+    if not crowd.isEmpty():
+        at = homes.join(crowd, "node", "left_semi").groupBy("node").agg(F.collect_list("home").alias("homes"))
+        crowd = materialize(at.join(bags, F.col("node") == F.col("content")).select("node", "shingles", "homes"), "crowd-shingles")
+        edges = crowded_links(crowd, edges, similarity)
     labels = materialize(components.connected_components(edges), "similar-labels")
     return prints.join(labels, prints["content"] == labels["node"], "left").select("id", "content", F.coalesce("label", "content").alias("root"))
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,6 +213,34 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, limit):
         assert set(brute.values()) <= kept and len(kept) <= len(set(brute.values())) + 6
 
 
+@pytest.mark.parametrize("limit", [64, 4, 2])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, limit):
+    """Families of near copies in shared cells, of which no text is like all: the groups are the same at every limit."""
+    monkeypatch.setattr(simhash, "SIMILAR_CELL", limit)
+    rng = random.Random(33)
+    base = [f"w{i}" for i in range(300)]
+    rows, n = [], 0
+    for _ in range(30):
+        family = near_copies(rng, base, 14)
+        rows += [(n := n + 1, " ".join(near_copies(rng, family, edits))) for edits in (0, 2, 3)]
+    rows += [(1000 + i, " " * i) for i in range(20)]
+    rng.shuffle(rows)
+    brute = brute_similar(dict(rows))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute.values()) and 10 < len(kept) < 80
+
+
+def test_prefixes_of_similar_texts_share_a_shingle():
+    rng = random.Random(8)
+    counts = np.array([rng.randrange(4) for _ in range(64)], np.uint32)
+    for _ in range(300):
+        a = set(rng.sample(range(-500, 500), rng.randrange(1, 60)))
+        b = set(rng.sample(sorted(a), rng.randrange(len(a) * 3 // 4, len(a)) or 1)) | set(rng.sample(range(-500, 500), rng.randrange(4)))
+        if len(a & b) >= 0.8 * len(a | b):
+            x, y = (set(simhash.prefix(np.array(sorted(s), np.int64), counts, 0.8).tolist()) for s in (a, b))
+            assert x & y and len(x) == len(a) - -(-4 * len(a) // 5) + 1
+
+
 def test_recall_of_near_copies(spark):
     """Of pairs of copies with a similarity of 0.8 and more, most are found; texts that aren't similar are all kept."""
     rng = random.Random(5)
