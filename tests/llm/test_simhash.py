@@ -230,6 +230,22 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch, limit):
     assert kept == set(brute.values()) and 10 < len(kept) < 80
 
 
+def test_families_in_one_cell_are_all_found(spark):
+    """Texts of the same words have one fingerprint: all are in the same cells, and few are like the least or greatest."""
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for f in range(20):
+        rng.shuffle(words)
+        for k in (0, 30, 80):
+            copy = list(words)
+            if k:
+                copy[k], copy[k + 1] = copy[k + 1], copy[k]
+            rows.append((10 * f + k // 10, " ".join(copy)))
+    assert len(rows) > simhash.SIMILAR_CELL
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute_similar(dict(rows)).values()) == {10 * f for f in range(20)}
+
+
 def test_prefixes_of_similar_texts_share_a_shingle():
     rng = random.Random(8)
     counts = np.array([rng.randrange(4) for _ in range(64)], np.uint32)
