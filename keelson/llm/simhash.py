@@ -21,8 +21,9 @@ proportion to its fingerprints, never to their pairs.
 ``keep_one``, for pipelines, asks for near copies by the Jaccard similarity of
 five-word shingles.  Its fingerprints are of words, several for each text; they
 meet in the same grid, and every candidate pair is verified on whole texts.  In
-crowded cells the pairs are those that share one of their rarest shingles, which
-all that are alike do.
+crowded cells texts are told by their differences from what is usual among them: few
+differences make them alike without a comparison, and with more they must share some,
+of which the rarest give the pairs.
 """
 
 from __future__ import annotations
@@ -52,10 +53,12 @@ PAIRS_CELL = 64
 VISITS_A_TASK = 4_000_000
 #: Near copies have so many words in a shingle and so much in common; tables of fingerprints that look for them.
 SIMILAR_WORDS, SIMILARITY, TABLES = 5, 0.8, 4
-#: In cells of more texts each is compared with two of them, and then by its rarest shingles.
+#: In cells of more texts each is compared with two of them, and then by its differences from the others.
 SIMILAR_CELL = 16
 #: Shingles of such texts are counted in so many spots.
 COUNT_SPOTS = 1 << 21
+#: The shingles of a family are told from its usual ones in so many parts.
+SALTS = 64
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -297,32 +300,104 @@ def shingle_counts(crowd: DataFrame):
     return crowd.sparkSession.sparkContext.broadcast(counts.tobytes())
 
 
+def rarest(bag: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rarest of a bag, in one order for all bags, by count and hash, which may be any."""
+    return bag[np.lexsort((bag, counts[bag.view(np.uint64) & np.uint64(len(counts) - 1)]))[:n]]
+
+
 def prefix(bag: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The rarest of a text's shingles, so many that two texts of ``similarity`` or more share one of theirs.
 
-    All texts are put in one order, by count and hash, which may be any.  A text without
-    words has the shingle 0, so that these meet."""
-    if not len(bag):
-        return np.zeros(1, np.int64)
-    order = np.lexsort((bag, counts[bag.view(np.uint64) & np.uint64(len(counts) - 1)]))
-    return bag[order[: len(bag) - math.ceil(similarity * len(bag) - 1e-6) + 1]]
+    A text without words has the shingle 0, so that these meet."""
+    return rarest(bag, counts, len(bag) - math.ceil(similarity * len(bag) - 1e-6) + 1) if len(bag) else np.zeros(1, np.int64)
+
+
+def _slices(column) -> list[np.ndarray]:
+    flat, lengths = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _prefixes(counts, similarity: float):
     def run(batches):
         often = np.frombuffer(counts.value, np.uint32)
         for batch in batches:
-            bags, ends = batch.column(1).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(2).to_numpy())))
-            found = [prefix(bags[a:b], often, similarity) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            at = np.concatenate([np.arange(n) for n in lengths]) if len(found) else lengths
-            flat = np.concatenate(found) if found else lengths
-            nodes, sizes = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 2))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (flat, nodes, sizes, at)], ["shingle", "node", "size", "at"])
+            found = [prefix(bag, often, similarity) for bag in _slices(batch.column(1))]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(nodes)], ["shingle", "node"])
+
+    return run
+
+
+def families(crowd: DataFrame, similarity: float) -> DataFrame:
+    """``crowd`` (node, shingles, homes) with family; texts as similar as that are of one family, texts alone in theirs are left out.
+
+    Two such texts share one of their rarest shingles (``prefix``): what these join is a family."""
+    found = _prefixes(shingle_counts(crowd), similarity)
+    prefixes = materialize(crowd.select("node", "shingles").mapInArrow(found, "shingle bigint, node bigint"), "crowd-prefixes")
+    heads = prefixes.groupBy("shingle").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst < last")
+    shared = prefixes.join(heads, "shingle").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct()
+    labels = materialize(components.connected_components(materialize(shared, "crowd-shared")), "crowd-families")
+    return materialize(crowd.join(labels.withColumnRenamed("label", "family"), "node"), "crowd-members")
+
+
+def differences(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, family, homes, size, shingles, over): shingles, the differences of a text from what
+    more than half of its family has, and how many they are over its part of those that two
+    texts of ``similarity`` may differ in.
+
+    Texts x and y differ in |dx| + |dy| - 2 |dx & dy| shingles, whatever dx and dy are taken
+    from, and are as similar as that if these are at most (1 - similarity) / (1 + similarity) of
+    both sizes together.  So they are if over_x + over_y <= 0; else they must have half of that
+    sum in common."""
+    each = members.select("family", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("n"))
+    # a large family has many shingles: they are spread by a salt, and its number of texts is repeated for each
+    each = each.withColumn("salt", F.pmod("shingle", F.lit(SALTS)))
+    total = members.groupBy("family").agg(F.count("*").alias("texts")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    often = materialize(each.join(total, ["family", "salt"]).where("2 * n > texts").select("family", "shingle"), "crowd-often")
+    usual = often.groupBy("family").agg(F.collect_list("shingle").alias("usual"))
+    known = members.join(materialize(usual, "crowd-usual"), "family", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    differs = F.array_union(F.array_except("shingles", "usual"), F.array_except("usual", "shingles"))
+    # differences of two families are never the same
+    differs = F.transform(differs, lambda x: x.bitwiseXOR(F.col("family")))
+    found = known.select("node", "family", "homes", F.size("shingles").cast("long").alias("size"), differs.alias("shingles"))
+    return materialize(found.withColumn("over", F.size("shingles") - F.col("size") * F.lit((1 - similarity) / (1 + similarity))), "crowd-differences")
+
+
+def _rare_differences(counts, similarity: float):
+    share = (1 - similarity) / (1 + similarity) / similarity
+
+    def run(batches):
+        often = np.frombuffer(counts.value, np.uint32)
+        for batch in batches:
+            bags, size, over = _slices(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            # what any text as similar, at most size / similarity long, must have in common with this one
+            least = np.maximum(1, np.ceil(over - share * size - 1e-6)).astype(np.int64)
+            found = [rarest(bag, often, max(0, len(bag) - n + 1)) for bag, n in zip(bags, least, strict=True)]
+            lengths = [len(x) for x in found]
+            rest = np.concatenate([len(bag) - np.arange(n) for bag, n in zip(bags, lengths, strict=True)])
+            nodes, overs = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 3))
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(nodes), pa.array(overs), pa.array(rest)], ["shingle", "node", "over", "rest"])
 
     return run
 
 
+def surely_alike(rooted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of ``rooted`` (differences, with root) that join all texts of a cell that are alike
+    by ``over_x + over_y <= 0``: those that are so with any are so with the one of the least
+    ``over``.  No more rows than visits, whatever the number of such texts."""
+    share = (1 - similarity) / (1 + similarity) / similarity
+    # the least over is that of a text without differences, at most size / similarity long
+    near = rooted.where(F.col("over") <= F.col("size") * F.lit(share) + F.lit(1e-6)).select("family", "node", "root", "over", F.explode("homes").alias("home"))
+    spots = near.groupBy("family", "home").agg(F.min(F.struct("over", "node", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+    steps = materialize(spots, "crowd-spots").select("*", F.explode(_moves()).alias("move")).withColumn("cell", F.col("home") + F.col("move"))
+    heads = steps.groupBy("family", "cell").agg(F.min("head").alias("head"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    heads = materialize(heads.select("family", "cell", "head"), "crowd-heads")
+    met = steps.select("family", "home", "cell").join(heads, ["family", "cell"]).select("family", "home", "head").distinct()
+    sure = near.join(met, ["family", "home"]).where("root <> head.root").where(F.col("over") + F.col("head.over") <= F.lit(1e-6))
+    return sure.select(F.greatest("node", "head.node").alias("src"), F.least("node", "head.node").alias("dst"))
+
+
 def _alike(similarity: float) -> Column:
     common = F.size(F.array_intersect("src_bag", "dst_bag"))
     return common >= F.lit(similarity) * (F.size("src_bag") + F.size("dst_bag") - common)
@@ -332,25 +407,31 @@ def crowded_links(crowd: DataFrame, edges: DataFrame, similarity: float) -> Data
     """``edges`` (src, dst) and so many more links between nodes of ``crowd`` (node, shingles,
     homes) that all its links lie within their components.
 
-    Two texts as similar as that share one of their rarest shingles (``prefix``).  By each of
-    these a text is first compared with one other that has it; then all that share one and
-    are not in one component yet are compared."""
-    counts = shingle_counts(crowd)
-    sized = crowd.select("node", "shingles", F.size("shingles").cast("long").alias("size"))
-    prefixes = materialize(sized.mapInArrow(_prefixes(counts, similarity), "shingle bigint, node bigint, size bigint, at bigint"), "crowd-prefixes")
+    Texts are told by their ``differences`` from what is usual in their family.  Those with few
+    are alike without a comparison and joined cell by cell (``surely_alike``); others have some
+    of their rarest differences in common.  By each of these a text is first compared with the
+    one that has the fewest; then all that share one and are not in one component yet are
+    compared."""
+    told = differences(families(crowd, similarity), similarity)
+    found = _rare_differences(shingle_counts(told), similarity)
+    rare = told.select("node", "shingles", "size", "over").mapInArrow(found, "shingle bigint, node bigint, over double, rest bigint")
+    rare = materialize(rare, "crowd-rare")
     cells = lambda homes: F.flatten(F.transform(homes, lambda h: F.transform(_moves(), lambda m: h + m)))
+    # the first difference in common and what comes after it have room for all that they must share
+    room = lambda x, y, both: (both > F.lit(-1e-6)) & (2 * F.least(x, y) >= both - F.lit(1e-6))
     for first in (True, False):
         labels = materialize(components.connected_components(edges), "crowd-labels")
-        rooted = prefixes.join(labels, "node", "left").select("shingle", "node", "size", "at", F.coalesce("label", "node").alias("root"))
-        heads = rooted.groupBy("shingle").agg(F.min(F.struct("root", "node")).alias("head"), F.max("root").alias("last")).where("head.root < last")
+        with_root = lambda rows: rows.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node")).drop("label")  # noqa: E731, B023
+        rooted = with_root(rare)
+        heads = rooted.groupBy("shingle").agg(F.min(F.struct("over", "node", "root", "rest")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         rooted = materialize(rooted.join(heads.select("shingle", "head"), "shingle"), "crowd-rooted")
         if first:
-            pairs = rooted.where("root <> head.root").select(F.greatest("node", "head.node").alias("src"), F.least("node", "head.node").alias("dst"))
+            enough = room(F.col("rest"), F.col("head.rest"), F.col("over") + F.col("head.over"))
+            pairs = rooted.where("root <> head.root").where(enough).select(F.greatest("node", "head.node").alias("src"), F.least("node", "head.node").alias("dst"))
+            pairs = pairs.unionByName(surely_alike(materialize(with_root(told.drop("shingles")), "crowd-told"), similarity))
         else:
-            a, b = (rooted.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "size", "at")]) for name in ("src", "dst"))
-            # what comes after the first shingle in common has room for all that they must share
-            room = F.least(F.col("src_size") - F.col("src_at"), F.col("dst_size") - F.col("dst_at")) + F.lit(1e-6)
-            enough = room >= (F.col("src_size") + F.col("dst_size")) * F.lit(similarity / (1 + similarity))
+            a, b = (rooted.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "over", "rest")]) for name in ("src", "dst"))
+            enough = room(F.col("src_rest"), F.col("dst_rest"), F.col("src_over") + F.col("dst_over"))
             pairs = a.join(b, "shingle").where("src_node > dst_node and src_root <> dst_root").where(enough).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
         pairs = materialize(pairs.distinct(), "crowd-candidates")
         a, b = (crowd.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_bag"), F.col("homes").alias(f"{name}_homes")) for name in ("src", "dst"))

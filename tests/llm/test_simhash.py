@@ -246,6 +246,27 @@ def test_families_in_one_cell_are_all_found(spark):
     assert kept == set(brute_similar(dict(rows)).values()) == {10 * f for f in range(20)}
 
 
+def test_a_large_group_needs_few_comparisons(spark, monkeypatch):
+    """Copies of one text, each alike to one other only: few of their pairs are compared, and none that is alike is lost."""
+    rng = random.Random(17)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(0, 600, 2):
+        copy = near_copies(rng, base, 6)
+        rows += [(i, " ".join(copy)), (i + 1, " ".join(near_copies(rng, copy, 1)))]
+    compared, written = [], simhash.materialize
+
+    def counting(df, label):
+        done = written(df, label)
+        if label == "crowd-candidates":
+            compared.append(done.count())
+        return done
+
+    monkeypatch.setattr(simhash, "materialize", counting)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute_similar(dict(rows)).values()) and 200 < len(kept) < 320
+    assert 0 < sum(compared) < 0.1 * len(rows) * (len(rows) - 1) / 2
+
+
 def test_prefixes_of_similar_texts_share_a_shingle():
     rng = random.Random(8)
     counts = np.array([rng.randrange(4) for _ in range(64)], np.uint32)
@@ -257,6 +278,26 @@ def test_prefixes_of_similar_texts_share_a_shingle():
             assert x & y and len(x) == len(a) - -(-4 * len(a) // 5) + 1
 
 
+def test_differences_tell_the_similar():
+    """Texts as similar as that differ in few shingles from what is usual, or share one of their rarest differences."""
+    rng = random.Random(4)
+    c, base = 1 / 9, set(range(60))
+    counts, ways = np.array([rng.randrange(4) for _ in range(64)], np.uint32), Counter()
+    for _ in range(2000):
+        usual = set(rng.sample(sorted(base), rng.choice((0, 30, 50, 58, 60))))
+        a = set(rng.sample(sorted(base), rng.randrange(50, 61))) | set(rng.sample(range(100, 110), rng.randrange(6)))
+        b = set(rng.sample(sorted(a), len(a) - rng.randrange(6))) | set(rng.sample(range(100, 110), rng.randrange(4)))
+        over = [len(x ^ usual) - c * len(x) for x in (a, b)]
+        alike = len(a & b) >= 0.8 * len(a | b)
+        if sum(over) <= 1e-6:
+            assert alike
+        elif alike:
+            x, y = (simhash.rarest(np.array(sorted(s ^ usual), np.int64), counts, len(s ^ usual) - max(1, int(np.ceil(o - c * len(s) / 0.8 - 1e-6))) + 1) for s, o in zip((a, b), over))
+            assert set(x.tolist()) & set(y.tolist())
+        ways[alike, sum(over) <= 1e-6] += 1
+    assert ways[True, True] > 50 and ways[True, False] > 50
+
+
 def test_recall_of_near_copies(spark):
     """Of pairs of copies with a similarity of 0.8 and more, most are found; texts that aren't similar are all kept."""
     rng = random.Random(5)
